@@ -82,3 +82,9 @@ def spans(offsets: np.ndarray, most: int):
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_NP = np.frombuffer(LOWER, np.uint8)
+
+
+def without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids``; ids are broadcast only if they are few."""
+    ids = staged(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(*docs.columns)

@@ -161,17 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict:
     return fit(x, np.array([r[0] for r in rows], float), p)
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], p: Params = Params()) -> DataFrame:
+def score(docs: DataFrame, model: dict, keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees x nodes: fixed by the parameters
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
     def run(batches):
         for b in batches:
-            raw, off = text_buffer(b.column("__text"))
+            raw, off = text_buffer(b.column("text"))
             s = predict(shared.value, statistics(raw, off, p.chunk_bytes))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, name])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int = 3, held: int = 1, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:

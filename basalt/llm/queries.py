@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, quality, toxicity
+from . import decontamination, minhash, packing, quality, toxicity
 from .common import table
 
 
@@ -25,6 +23,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_params())
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(words=2))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "quality")).select("doc_id", "held_out", "score", "predicted")
 
@@ -37,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_pack, op8_quality, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
 SQL: dict[str, str] = {}

@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
     return fit([(r[0], bytes(r[1]), bytes(r[2])) for r in sorted(got, key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))], p)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p: Params = Params()) -> DataFrame:
-    """``keep`` columns of ``docs`` (with ``text`` read) and ``score``."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` (with ``text`` read) and the score, as ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p:
         logits, bias = shared.value
         table = np.append(logits, np.float32(0))  # -1 points here
         for b in batches:
-            raw, off = text_buffer(b.column("__text"))
+            raw, off = text_buffer(b.column("text"))
             total = np.zeros(len(off) - 1)
             count = np.zeros(len(off) - 1)
             for i, j, start, parts in grams(raw, off, p):
@@ -171,10 +171,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p:
                         count[i:j][ok] += np.add.reduceat(g >= 0, start[ok], dtype=np.int64)
             z = total / np.maximum(count, 1) + bias
             s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, name])
 
-    picked = docs.select(*keep, F.col("text").alias("__text"))
-    return picked.mapInArrow(run, f"{schema}, score double")
+    picked = docs.select(*keep, *[c for c in ("text",) if c not in keep])
+    return picked.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int = 4, held: int = 2, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
