@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, packing, quality, toxicity
+from . import decontamination, embeddings, minhash, packing, quality, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def packing_params() -> packing.Params:
     return packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_params())
 
@@ -39,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_embeddings, op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
 SQL: dict[str, str] = {}
