@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, minhash, packing, quality, toxicity
+from . import decontamination, embeddings, minhash, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,12 @@ def packing_params() -> packing.Params:
     return packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    number = lambda c: F.expr(f"try_cast({c} as bigint)").alias(c)
+    return found.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "uri")
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -43,5 +49,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_embeddings, op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_embeddings, op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
 SQL: dict[str, str] = {}
