@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, minhash, packing, quality, toxicity, warc
+from . import decontamination, embeddings, lm, minhash, packing, quality, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -37,6 +37,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Params(words=2))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "quality")).select("doc_id", "held_out", "score", "predicted")
 
@@ -49,5 +57,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_embeddings, op4_pack, op5_minhash, op8_quality, op9_decontaminate, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
+SQL: dict[str, str] = {"op6_urlfilter": urlfilter.sql()}
