@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, lm, minhash, packing, quality, toxicity, urlfilter, warc
+from . import decontamination, embeddings, licenses, lm, minhash, packing, quality, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def packing_params() -> packing.Params:
     return packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
     number = lambda c: F.expr(f"try_cast({c} as bigint)").alias(c)
@@ -57,5 +61,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
-SQL: dict[str, str] = {"op6_urlfilter": urlfilter.sql()}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
+SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op6_urlfilter": urlfilter.sql()}
