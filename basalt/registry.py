@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = None
+from .plans import derived, lookups  # noqa: F401  they register themselves
+from .plans.base import QUERIES, SQL
+
+FLAGSHIP = QUERIES["multi_index_outcomes"]
