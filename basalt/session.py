@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,24 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.master(master).config(map=settings | conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    A temporary folder stands in only on a local master where the setting is absent.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(shared_dir, "_own", None)
+    if own is None:
+        own = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="basalt-")
+    return own
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
