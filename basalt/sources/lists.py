@@ -28,7 +28,7 @@ def ledger_list(lines: DataFrame) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1), value of one text file, which is read whole: lists are small, and lines need their number."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select((F.col("at") + 1).cast("long").alias("line_no"), "value")
 
 
