@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, small_batches, staged
 from .components import components
 
 
@@ -213,10 +213,11 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, p: Params) -
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     sigs = staged(signatures(docs, p), "signatures")
     stands = sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     members = staged(sigs.select("doc_id", "n_shingles", "set_id").join(stands, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    first = sigs.where("set_id is not null and doc_id is not null").join(stands, "set_id").where("doc_id = rep")
+    first = sigs.where("set_id is not null").withColumn("rep", F.col("doc_id")).join(stands, ["set_id", "rep"])
     classes = staged(first.select("rep", "sig", "left", "right").dropDuplicates(["rep", "sig"]), "classes")
     discard(sigs)
     clusters = components(ties(classes, p))

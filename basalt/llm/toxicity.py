@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_NP, fold, spans, text_buffer
+from .common import fold, LOWER_NP, small_batches, spans, text_buffer
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` (with ``text`` read) and the score, as ``name``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
