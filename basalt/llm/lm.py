@@ -43,7 +43,7 @@ class Params:
     folds: int = 10
     held: int = 0
     part_rows: int = 6_000_000
-    frequent_words: int = 1_500_000
+    frequent_words: int = 500_000
     cache_words: int = 400_000
     chunk_bytes: int = 1 << 21
     merge_rows: int = 3_000_000
@@ -66,9 +66,16 @@ def strings(raw: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return key[keep], off[:-1] - off[0] + np.arange(n)
 
 
+def distinct(keys: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, and ``weight`` times how often it occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))) * weight
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -112,13 +119,12 @@ def counted(docs: DataFrame, p: Params) -> DataFrame:
             learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
             for i, j in spans(off, p.chunk_bytes):
                 key, start = strings(raw, off[i : j + 1], p.depth)
-                size = np.diff(np.append(start, len(key)))
-                held["string"].append(merged([(key, np.repeat(learn[i:j].astype(np.int64), size))]))
+                own = np.repeat(learn[i:j], np.diff(np.append(start, len(key))))
+                held["string"] += [distinct(key[own], 1), distinct(key[~own], 0)]
                 whole = raw[off[i] : off[j]].tobytes()
                 found = [words(whole[off[k] - off[i] : off[k + 1] - off[i]]) for k in range(i, j) if learn[k]]
                 if found:
-                    w, n = np.unique(np.concatenate(found), return_counts=True)
-                    held["word"].append((w, n))
+                    held["word"].append(distinct(np.concatenate(found), 1))
                     tokens += len(found)
                 for what in held:
                     yield from rows(what, p.merge_rows)
@@ -275,35 +281,42 @@ def table_of_strings(counts: DataFrame, p: Params) -> DataFrame:
 
 
 class Lookup:
-    """Open addressing over 64-bit keys, probed for a whole array at once."""
+    """Open addressing over 64-bit keys, probed for a whole array at once. Values of absent keys are 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
-        self.keys, self.at = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32)
-        self.values = values
-        slot, left = self.slot(keys), np.arange(len(keys), dtype=np.int32)
+        self.free = int(np.setdiff1d(np.arange(-1, -2 - len(keys), -1), keys)[0])  # marks empty slots
+        self.keys, self.values = np.full(1 << self.bits, self.free, np.int64), np.zeros(1 << self.bits, values.dtype)
+        slot, left = self.slot(keys), np.arange(len(keys))
         while len(left):
-            free = self.at[slot] < 0
-            self.at[slot[free]] = left[free]
-            placed = self.at[slot] == left
-            self.keys[slot[placed]] = keys[left[placed]]
+            free = self.keys[slot] == self.free
+            self.keys[slot[free]] = keys[left[free]]
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
             slot, left = (slot[~placed] + 1) & ((1 << self.bits) - 1), left[~placed]
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h >>= np.uint64(64 - self.bits)
+            return h.view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys; 0 for those that are not there."""
-        out = np.zeros(len(keys), self.values.dtype)
-        slot, left = self.slot(keys), np.arange(len(keys))
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        hit = there == keys
+        out = np.where(hit, self.values[slot], self.values.dtype.type(0))
+        left = np.flatnonzero(~hit & (there != self.free))
+        slot = slot[left]
         while len(left):
-            at = self.at[slot]
-            hit = (self.keys[slot] == keys[left]) & (at >= 0)
-            out[left[hit]] = self.values[at[hit]]
-            go = ~hit & (at >= 0)
-            slot, left = (slot[go] + 1) & ((1 << self.bits) - 1), left[go]
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            go = ~hit & (there != self.free)
+            slot, left = slot[go], left[go]
         return out
 
 
