@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunks import batch_of
+from ..session import new_path
 
 DATA_FIELDS = ["ledger_seq", "closed_at", "tx_index", "envelope", "result"]
 
@@ -97,6 +98,35 @@ def compaction_triggers(batch_bytes: DataFrame, threshold: int) -> DataFrame:
     return ordered.select("stream", F.explode(F.aggregate("b", start, step)["at"]).alias("batch_no"))
 
 
+def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in the order of a column, without bringing them to one task.
+
+    Rows are dealt by ranges and written; numbers are those within a range after the sizes of the
+    ranges before it.
+    """
+    path = new_path(df.sparkSession, "ranges")
+    df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    dealt = df.sparkSession.read.parquet(path)
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each range
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return dealt.withColumn(name, within).join(before, "__part").withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def split_evenly(df: DataFrame, workers: int, order: str) -> DataFrame:
     """Contiguous slices; the first ones get one more row each."""
-    return df.withColumn("worker", F.ntile(workers).over(Window.orderBy(order)) - 1)
+    rows = numbered(df, order, "__number")
+    least, more = divmod(rows.count(), workers)
+    n = F.col("__number")
+    if not least:
+        return rows.withColumn("worker", n).drop("__number")
+    large = more * (least + 1)
+    worker = F.when(n < large, F.floor(n / (least + 1))).otherwise(more + F.floor((n - large) / least))
+    return rows.withColumn("worker", worker.cast("long")).drop("__number")
+
+
+def split_for_verify(df: DataFrame, workers: int, order: str) -> DataFrame:
+    """Contiguous slices of equal size, rounded up; the last ones may be short or missing."""
+    rows = numbered(df, order, "__number")
+    size = max(1, -(-rows.count() // workers))
+    return rows.withColumn("worker", F.floor(F.col("__number") / size).cast("long")).drop("__number")

@@ -146,7 +146,75 @@ def chunk_range_read(spark, sf_dir):
 def work_split(spark, sf_dir):
     from ..operators.derive import split_evenly
 
-    return split_evenly(S.table(spark, sf_dir, "part").select("p_partkey"), 16, "p_partkey").withColumn("worker", F.col("worker").cast("long"))
+    return split_evenly(S.table(spark, sf_dir, "part").select("p_partkey"), 16, "p_partkey")
+
+
+@query("select p_partkey, (row_number() over (order by p_partkey) - 1) // (select (count(*) + 15) // 16 from part) as worker from part")
+def verify_split(spark, sf_dir):
+    from ..operators.derive import split_for_verify
+
+    return split_for_verify(S.table(spark, sf_dir, "part").select("p_partkey"), 16, "p_partkey")
+
+
+@query("select p_brand, count(*) as keys, ceil(count(*) / 2000)::bigint as buckets from part group by 1")
+def bucket_counts(spark, sf_dir):
+    """Buckets of an index at 2,000 keys each."""
+    return S.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("keys")).withColumn("buckets", F.ceil(F.col("keys") / 2000).cast("long"))
+
+
+@query(f"with {T} select count(*) as rows_, count(*) filter (where n > 1) as repeated from (select tx_hash, count(*) as n from txs group by 1)")
+def index_uniqueness(spark, sf_dir):
+    """Keys of an index, and those that more than one row claims, which would fail its build."""
+    n = S.transactions(spark, sf_dir).groupBy("tx_hash").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("rows_"), F.count_if(F.col("n") > 1).alias("repeated"))
+
+
+@query(f"with {E} select phase, count(*) as n, count(*) filter (where ns % 3 = 0) as good, round(100.0::double * count(*) filter (where ns % 3 = 0) / count(*), 6) as good_pct from ev group by 1")
+def verification_rate(spark, sf_dir):
+    g = samples(spark, sf_dir).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ns") % 3 == 0).alias("good"))
+    return g.withColumn("good_pct", A.share(F.col("good"), F.col("n")))
+
+
+@query(f"with {E}, r as (select phase, count(*)::bigint as done, sum(ns)::double / 1e9 as s from ev group by 1) select phase, round(done / s, 6) as rate, round((100000 - done) / (done / s), 6) as left_s from r")
+def rate_and_eta(spark, sf_dir):
+    g = samples(spark, sf_dir).groupBy("phase").agg(F.count(F.lit(1)).alias("done"), (F.sum("ns").cast("double") / 1e9).alias("s"))
+    rate, left = A.estimate(F.col("done"), 100_000, F.col("s"))
+    return g.select("phase", F.round(rate, 6).alias("rate"), F.round(left, 6).alias("left_s"))
+
+
+@query(f"with {E} select query_id, case when count(*) filter (where phase = 'error') > 0 then 'UNFORESEEN_ERROR' when sum(ns) % 4 = 0 then 'NOT_FOUND' when sum(ns) % 4 = 1 then 'FALSE_POSITIVE' else 'FOUND' end as bucket, sum(ns)::bigint as ns from ev group by 1")
+def query_buckets(spark, sf_dir):
+    """The bucket of each interactive query."""
+    g = samples(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.col("phase") == "error").alias("bad"), F.sum("ns").alias("ns"))
+    bucket = F.when(F.col("bad") > 0, "UNFORESEEN_ERROR").when(F.col("ns") % 4 == 0, "NOT_FOUND").when(F.col("ns") % 4 == 1, "FALSE_POSITIVE").otherwise("FOUND")
+    return g.select("query_id", bucket.alias("bucket"), "ns")
+
+
+@query(f"""with {E}, b as (select query_id, case when count(*) filter (where phase = 'error') > 0 then 'UNFORESEEN_ERROR' when sum(ns) % 4 = 0 then 'NOT_FOUND' when sum(ns) % 4 = 1 then 'FALSE_POSITIVE' else 'FOUND' end as bucket, sum(ns)::bigint as ns from ev group by 1)
+select bucket, count(*) as n, sum(ns)::bigint as total_ns, (sum(ns) // count(*))::bigint as avg_ns, round(100.0::double * count(*) / (select count(*) from b), 6) as share_pct from b group by 1""")
+def running_stats(spark, sf_dir):
+    """Totals of the buckets; every query is in one, so shares add up to 100."""
+    b = query_buckets(spark, sf_dir)
+    total = b.agg(F.count(F.lit(1)).alias("all_"))
+    g = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("ns").alias("total_ns")).withColumn("avg_ns", F.expr("total_ns div n"))
+    return g.crossJoin(total).withColumn("share_pct", A.share(F.col("n"), F.col("all_"))).drop("all_")  # one row
+
+
+@query("select c_mktsegment, count(*) as keys, sum(strlen(c_name))::bigint as value_bytes, (count(*) * 8)::bigint as key_bytes, min(strlen(c_name))::int as least, max(strlen(c_name))::int as most, round(100.0::double * (sum(strlen(c_name)) - count(*) * 8) / (count(*) * 8), 6) as change_pct from customer group by 1")
+def copy_stats(spark, sf_dir):
+    """Keys and bytes that a copy moves."""
+    from ..functions.formats import overhead
+
+    n = F.octet_length("c_name")
+    g = S.table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("value_bytes"), (F.count(F.lit(1)) * 8).alias("key_bytes"), F.min(n).alias("least"), F.max(n).alias("most"))
+    return g.withColumn("change_pct", F.round(overhead(F.col("value_bytes"), F.col("key_bytes")), 6))
+
+
+@query("select doc_id, n_chars as ns, case when n_chars < 1000 then n_chars || 'ns' else printf('%.3f', n_chars / 1e3) || 'µs' end as text, case when n_chars > 80 then regexp_replace(lang || repeat('x', 100), '(.{1,80})', '\\1' || chr(10), 'g') else lang end as wrapped from documents where n_chars < 1000000")
+def format_texts(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").where("n_chars < 1000000")
+    wrapped = F.when(F.col("n_chars") > 80, H.wrapped(F.concat("lang", F.repeat(F.lit("x"), 100)))).otherwise(F.col("lang"))
+    return d.select("doc_id", F.col("n_chars").alias("ns"), H.human_duration(F.col("n_chars")).alias("text"), wrapped.alias("wrapped"))
 
 
 @query(f"with {L} select ledger_seq, lower(lpad(to_hex(ledger_seq), 8, '0')) as be, ledger_seq as back, lower(array_to_string(list_transform([7, 5, 3, 1], lambda i: substring(lpad(to_hex(ledger_seq), 8, '0'), i, 2)), '')) as le from ledgers")

@@ -63,6 +63,16 @@ def copy_store(spark, sf_dir):
     return spark.read.parquet(path).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
+@query(f"with {L}, {T} select tx_hash, ledger_seq, closed_at, tx_index, envelope, result from txs join ledgers using (ledger_seq)")
+def txdata_blob_roundtrip(spark, sf_dir):
+    """Transactions in their stored form, and back."""
+    from ..functions import txdata
+
+    path = new_path(spark, "blobs")
+    txdata.encode(D.tx_data(S.ledgers(spark, sf_dir), S.transactions(spark, sf_dir))).write.parquet(path)
+    return txdata.decode(spark.read.parquet(path)).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))
+
+
 @query()
 def zstd_size_stats(spark, sf_dir):
     """Sizes of the documents before and after compression, by source."""
