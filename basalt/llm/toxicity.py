@@ -17,6 +17,7 @@ are null are left out; of several labels for a doc_id the larger counts.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,19 +30,22 @@ from .common import fold, LOWER_NP, small_batches, spans, text_buffer
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
+SHARE = 1024  # of which a weight in a bag is a part, so that half precision holds it
+
 
 @dataclass(frozen=True)
 class Params:
-    n_min: int = 3
-    n_max: int = 6
-    bits: int = 18
-    dim: int = 4
-    epochs: int = 8
+    n_min: int = 2
+    n_max: int = 4
+    bits: int = 16  # at most 16: the sample's bags hold buckets in two bytes
+    dim: int = 2
+    epochs: int = 12
     batch: int = 32
     rate: float = 0.3
     scale: float = 100.0
-    max_positive: int = 1500
-    max_negative: int = 3000
+    prior: int = 300  # n-grams of no weight that every text has besides its own, so that short texts stay near the bias
+    max_positive: int = 4000
+    max_negative: int = 16000
     chunk_bytes: int = 1 << 20
 
 
@@ -89,8 +93,8 @@ def bags(p: Params):
                 for k in range(j - i):
                     own = np.concatenate([g[start[k] : end[k]] for g in parts] or [np.zeros(0, np.int32)])
                     own, n = np.unique(own[own >= 0], return_counts=True)
-                    ids.append(own.astype("<i4").tobytes())
-                    weights.append((n / max(1, n.sum())).astype("<f4").tobytes())
+                    ids.append(own.astype("<u2").tobytes())
+                    weights.append((SHARE * n / (n.sum() + p.prior)).astype("<f2").tobytes())
             yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "ids": pa.array(ids, pa.binary()), "weights": pa.array(weights, pa.binary())})
 
     return run
@@ -107,8 +111,8 @@ def fit(bag_rows: list, p: Params) -> tuple[np.ndarray, float]:
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return logits, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    ids = [np.frombuffer(r[1], "<i4") for r in bag_rows]
-    wts = [np.frombuffer(r[2], "<f4") for r in bag_rows]
+    ids = [np.frombuffer(r[1], "<u2") for r in bag_rows]
+    wts = [np.frombuffer(r[2], "<f2") for r in bag_rows]
     rng = np.random.default_rng(7)
     size = 1 << p.bits
     emb = rng.uniform(-1.0 / p.dim, 1.0 / p.dim, (size, p.dim)).astype(np.float32)
@@ -123,7 +127,7 @@ def fit(bag_rows: list, p: Params) -> tuple[np.ndarray, float]:
             i = np.concatenate([ids[k] for k in pick])
             if not len(i):
                 continue
-            w = np.concatenate([wts[k] for k in pick]) * np.float32(p.scale)
+            w = np.concatenate([wts[k] for k in pick]).astype(np.float32) * np.float32(p.scale / SHARE)
             d = np.repeat(np.arange(len(pick)), [len(ids[k]) for k in pick])
             used, inv = np.unique(i, return_inverse=True)
             h = np.stack([np.bincount(d, w * emb[i, c], len(pick)) for c in range(p.dim)], 1)
@@ -147,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
     sample = known.where("y > 0").orderBy(*order).limit(p.max_positive).unionByName(known.where("y <= 0").orderBy(*order).limit(p.max_negative))
     sample = sample.withColumn("y", (F.col("y") > 0).cast("int"))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
-    got = rows.mapInArrow(bags(p), "y int, ids binary, weights binary").collect()
-    return fit([(r[0], bytes(r[1]), bytes(r[2])) for r in sorted(got, key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))], p)
+    got = rows.mapInArrow(bags(p), "y int, ids binary, weights binary").toArrow()
+    got = [(y.as_py(), i.as_buffer(), w.as_buffer()) for y, i, w in zip(*got.columns, strict=True)]
+    return fit(sorted(got, key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2]))), p)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
@@ -170,7 +175,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p:
                     if ok.any():
                         total[i:j][ok] += np.add.reduceat(table[g], start[ok], dtype=np.float64)
                         count[i:j][ok] += np.add.reduceat(g >= 0, start[ok], dtype=np.int64)
-            z = total / np.maximum(count, 1) + bias
+            z = total / (count + p.prior) + bias
             s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], [*keep, name])
 
