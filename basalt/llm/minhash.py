@@ -46,7 +46,7 @@ class Params:
     block: int = 128
     most_blocks: int = 32  # of a cluster, while blocks stay below largest_block
     largest_block: int = 4096
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 300_000
     cache_words: int = 400_000
 
     @property

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, embeddings, licenses, lm, minhash, packing, quality, toxicity, urlfilter, warc
 from .common import table
+from .sql import SQL  # noqa: F401  registered beside the queries
 
 
 def labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
-SQL: dict[str, str] = {"op1_licenses": licenses.sql(), "op6_urlfilter": urlfilter.sql()}
