@@ -38,6 +38,22 @@ def compact(spark: SparkSession, path: str, to: str, target_bytes: int, dry_run:
     return before.crossJoin(after)  # one row each
 
 
+def compact_chunks(spark: SparkSession, path: str, first: int, last: int) -> int:
+    """Rewrite only the chunks of a ledger table that a range of sequence numbers touches, one file each.
+
+    Returns the number of chunks. The new files are complete before the old ones are replaced.
+    """
+    from ..session import new_path
+
+    chunks = (first - 2) // 10_000, (last - 2) // 10_000
+    touched = spark.read.parquet(path).where(F.col("chunk_id").between(*chunks))
+    staging = new_path(spark, "compacting")
+    touched.repartition("chunk_id").sortWithinPartitions("chunk_id", "ledger_seq").write.partitionBy("chunk_id").parquet(staging)
+    rows = spark.read.parquet(staging)
+    rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "ledger_seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+    return rows.select("chunk_id").distinct().count()
+
+
 def store_summary(levels: DataFrame) -> DataFrame:
     """``levels(store, level, files, bytes, live_bytes, est_keys)`` summed for each store, with ratios."""
     out = levels.groupBy("store").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("live_bytes").alias("live_bytes"), F.sum("est_keys").alias("est_keys"), F.coalesce(F.sum(F.when(F.col("level") == 0, F.col("files"))), F.lit(0)).alias("l0_files"))

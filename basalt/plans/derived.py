@@ -126,3 +126,20 @@ def write_batch_bytes(spark, sf_dir):
     b = txs.agg(F.lit("tx_hash_to_tx_data").alias("store"), F.count(F.lit(1)).alias("entries"), F.sum(32 + F.octet_length("envelope") + F.octet_length("result")).alias("bytes_written"))
     c = txs.agg(F.countDistinct("tx_hash").alias("entries")).select(F.lit("tx_hash_to_ledger_seq").alias("store"), "entries", (F.col("entries") * 36).alias("bytes_written"))
     return a.unionByName(b).unionByName(c)
+
+
+@query(f"""with {L}, {T}, l as (select (ledger_seq - 2) // 1000 + 1 as batch_no, count(*) as ledgers, min(ledger_seq) as first, max(ledger_seq) as last from ledgers group by 1), t as (select (ledger_seq - 2) // 1000 + 1 as batch_no, count(*) as txs, sum(strlen(envelope) + strlen(result))::bigint as bytes from txs group by 1)
+select batch_no, first, last, ledgers, coalesce(txs, 0) as txs, round(coalesce(txs, 0) / ledgers, 6) as txs_per_ledger, case when txs is null then 0 else bytes // txs end as bytes_per_tx from l left join t using (batch_no)""")
+def batch_summary(spark, sf_dir):
+    """Range, counts and averages of each batch."""
+    number = batch_of(F.col("ledger_seq"), 2, 1000).alias("batch_no")
+    found = S.ledgers(spark, sf_dir).groupBy(number).agg(F.count(F.lit(1)).alias("ledgers"), F.min("ledger_seq").alias("first"), F.max("ledger_seq").alias("last"))
+    txs = S.transactions(spark, sf_dir).groupBy(number).agg(F.count(F.lit(1)).alias("txs"), F.sum(F.octet_length("envelope") + F.octet_length("result")).alias("bytes"))
+    out = found.join(txs, "batch_no", "left").withColumn("bytes_per_tx", F.when(F.col("txs").isNull(), 0).otherwise(F.expr("bytes div txs"))).withColumn("txs", F.coalesce("txs", F.lit(0)))
+    return out.select("batch_no", "first", "last", "ledgers", "txs", F.round(F.col("txs") / F.col("ledgers"), 6).alias("txs_per_ledger"), "bytes_per_tx")
+
+
+@query("with r as (select l_returnflag, l_linestatus, sum(l_linenumber)::bigint as n from lineitem group by rollup(l_returnflag, l_linestatus)) select * from r")
+def grouped_totals(spark, sf_dir):
+    """Counters kept for each worker and for all, as a rollup."""
+    return S.table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_linenumber").alias("n"))

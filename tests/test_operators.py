@@ -72,3 +72,26 @@ def test_compaction_of_files(spark, tmp_path):
 def test_commands_are_no_queries(spark):
     lines = spark.createDataFrame([("stop",), (" Stats ",), ("",), ("ab",)], "value string")
     assert [r.query for r in stream.queries_of(lines).collect()] == ["ab"]
+
+
+def test_range_compaction(spark, tmp_path):
+    from basalt.sources import ledgers
+
+    path = str(tmp_path / "l")
+    rows = spark.range(2, 30002).select(F.col("id").alias("ledger_seq"))
+    ledgers.write_ledgers(rows.where("ledger_seq % 2 = 0"), path, 4)
+    chunked = rows.where("ledger_seq % 2 = 1").withColumn("chunk_id", F.expr("(ledger_seq - 2) div 10000"))
+    chunked.repartition(4).write.mode("append").partitionBy("chunk_id").parquet(path)
+    before = len(list((tmp_path / "l" / "chunk_id=2").glob("*.parquet")))
+    assert maintain.compact_chunks(spark, path, 5, 10005) == 2
+    assert [len(list((tmp_path / "l" / f"chunk_id={k}").glob("*.parquet"))) for k in range(3)] == [1, 1, before]
+    assert spark.read.parquet(path).count() == 30000
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    assert [tuple(r) for r in derive.numbered(rows, "k").orderBy("k").collect()] == [(k, k) for k in range(1000)]
+    got = derive.split_evenly(rows.where("k < 10"), 4, "k").orderBy("k").collect()
+    assert [r.worker for r in got] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+    assert [r.worker for r in derive.split_evenly(rows.where("k < 2"), 4, "k").orderBy("k").collect()] == [0, 1]
+    assert [r.worker for r in derive.split_for_verify(rows.where("k < 5"), 3, "k").orderBy("k").collect()] == [0, 0, 1, 1, 2]
