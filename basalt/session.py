@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,6 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_delete_made)
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(p, True)
+
+
+def _delete_made() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            delete(spark, path)
