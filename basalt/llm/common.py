@@ -2,52 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    A temporary folder stands in only on a local master where the setting is absent.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(shared_dir, "_own", None)
-    if own is None:
-        own = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="basalt-")
-    return own
-
-
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if f.startswith(root) or f.replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete the files of a staged table that nothing reads any more."""
+    delete(df.sparkSession, df._staged_at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -215,13 +215,17 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs(doc_id, text)``."""
     small_batches(docs.sparkSession)
     sigs = staged(signatures(docs, p), "signatures")
-    stands = sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = staged(sigs.select("doc_id", "n_shingles", "set_id").join(stands, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    first = sigs.where("set_id is not null").withColumn("rep", F.col("doc_id")).join(stands, ["set_id", "rep"])
-    classes = staged(first.select("rep", "sig", "left", "right").dropDuplicates(["rep", "sig"]), "classes")
+    # written first, so that Spark can split a large class in the join with its smallest member
+    stands = staged(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1 and rep is not null").drop("n"), "stands")
+    members = staged(sigs.select("doc_id", "n_shingles", "set_id").join(stands, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    others = members.where("set_id is not null and (doc_id is null or doc_id <> rep)").select("doc_id", "set_id")
+    if others.count() <= p.broadcast_rows:
+        others = F.broadcast(others)
+    classes = sigs.where("set_id is not null and doc_id is not null").join(others, ["doc_id", "set_id"], "left_anti")
+    classes = staged(classes.select(F.col("doc_id").alias("rep"), "sig", "left", "right"), "classes")
     discard(sigs)
     clusters = components(ties(classes, p))
     linked = components(links(docs, classes, clusters, p))
-    out = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    out = members.drop("set_id").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

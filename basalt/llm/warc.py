@@ -23,13 +23,12 @@ records. A file whose start is no record, or whose chain breaks, gives the recor
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from ..session import new_path
+from .common import staged
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -57,7 +56,7 @@ def to_records(pages: DataFrame, revisit_bytes: int = 100, broadcast_rows: int =
 
 def write(pages: DataFrame, path: str | None = None, **options) -> str:
     """Write ``pages`` as an archive folder (default: in the shared folder) and return its path."""
-    path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or new_path(pages.sparkSession, "warc")
     to_records(pages, **options).write.option("lineSep", END).text(path)
     return path
 
