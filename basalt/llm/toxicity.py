@@ -44,8 +44,8 @@ class Params:
     rate: float = 0.3
     scale: float = 100.0
     prior: int = 300  # n-grams of no weight that every text has besides its own, so that short texts stay near the bias
-    max_positive: int = 4000
-    max_negative: int = 16000
+    max_positive: int = 3000
+    max_negative: int = 10000
     chunk_bytes: int = 1 << 20
 
 
