@@ -66,11 +66,13 @@ class Terms:
     def anchors(self, df: np.ndarray, n: int) -> None:
         """Choose the ``n`` rarest terms of each window; ``places`` maps a first choice to (item, offset)."""
         self.needs: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.rarest: dict[tuple[int, int], int] = {}  # of each window: (item, offset)
         places = defaultdict(set)
         seen = set()
         for k, s, own in self.windows():
             order = sorted(range(len(own)), key=lambda i: (df[own[i]], own[i], i))
-            places[int(own[order[0]])].add((k, s + order[0]))
+            self.rarest[k, s] = int(own[order[0]])
+            places[self.rarest[k, s]].add((k, s + order[0]))
             rare = tuple(dict.fromkeys(int(own[i]) for i in order))[:n]
             if rare not in seen:
                 seen.add(rare)
@@ -200,8 +202,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), slop:
         def run(batches, shared=shared):
             terms = shared.value
             by_first = defaultdict(list)
-            for k, _, own in terms.windows():
-                by_first[next(iter(t for t in own.tolist() if t in terms.places and any(i == k for i, _ in terms.places[t])), -1)].append((k, Counter(own.tolist())))
+            for k, s, own in terms.windows():
+                by_first[terms.rarest[k, s]].append((k, Counter(own.tolist())))
             for b in batches:
                 out = {"doc_id": [], "item_id": [], "first": [], "end": []}
                 for key, n, t, at in zip(b.column("doc_id"), b.column("n_words").to_pylist(), b.column("terms"), b.column("positions"), strict=True):
