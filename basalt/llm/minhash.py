@@ -47,7 +47,7 @@ class Params:
     most_blocks: int = 32  # of a cluster, while blocks stay below largest_block
     largest_block: int = 4096
     broadcast_rows: int = 300_000
-    cache_words: int = 400_000
+    cache_words: int = 100_000
 
     @property
     def hashes(self) -> int:
