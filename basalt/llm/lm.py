@@ -44,7 +44,7 @@ class Params:
     held: int = 0
     part_rows: int = 6_000_000
     frequent_words: int = 500_000
-    cache_words: int = 400_000
+    cache_words: int = 100_000
     chunk_bytes: int = 1 << 21
     merge_rows: int = 3_000_000
 
@@ -349,7 +349,8 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     n_strings = table.count()
     parts = max(1, -(-n_strings // p.part_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
+    rows = docs.select("doc_id", "text")
+    source = rows if parts == 1 else staged(rows, "texts")  # dealt alike in each pass, so that rows keep their numbers
     done = None
     for part in range(parts):
         some = table if parts == 1 else table.where(F.pmod(F.xxhash64("string"), F.lit(parts)) == part)
@@ -387,12 +388,10 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
         names = ["doc_id", "row", "word", "n_tokens", "n_known", "base", "score"]
         if part == 0:
-            source = rows if parts == 1 else staged(docs.select("doc_id", "text"), "texts")
-            out = staged(source.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, word long, n_tokens long, n_known long, base double, score double"), "scores")
+            out = staged(source.mapInArrow(run, f"doc_id {kind}, row long, word long, n_tokens long, n_known long, base double, score double"), "scores")
             done = out.where("word is null")
             rare = out.where("word is not null").select("row", F.col("word").alias("key"))
         else:
-            # the staged texts are dealt alike in each pass, so rows keep their numbers
             more = source.mapInArrow(run, f"doc_id {kind}, row long, word long, n_tokens long, n_known long, base double, score double")
             done = done.join(staged(more.select("row", F.col("score").alias("more")), "scores"), "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
     tail = rare.join(words.where(F.col("n") < (int(least) if taken else 1 << 62)), "key", "left")
