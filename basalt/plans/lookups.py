@@ -10,22 +10,41 @@ from ..operators import derive as D
 from ..operators import lookup as J
 from ..sources import ledgers as S
 from ..sources import lists
-from .base import query
+from .base import QUERIES, SQL, query
 
 L, T = S.SQL_LEDGERS, S.SQL_TXS
 K = """keys as (select tx_hash as query from txs where starts_with(tx_hash, '0a') union all select upper(tx_hash) from txs where starts_with(tx_hash, '0b0') union all select '0x' || tx_hash from txs where starts_with(tx_hash, '0b1')
 union all select sha256('absent|' || range) from range(2000) union all select unnest(['zz', '', '0x', 'abc', repeat('g', 64), repeat('a', 63)]))"""
+#: Every transaction is asked for; the last digit of its hash, and so a hash of its row, says in which form.
+K_ALL = """keys as (select case tx_hash[64] when '0' then upper(tx_hash) when '1' then '0x' || tx_hash when '2' then tx_hash[1:63] || 'g' else tx_hash end as query from txs
+union all select sha256('absent|' || range) from range(2000) union all select unnest(['zz', '', '0x', 'abc', repeat('g', 64), repeat('a', 63)]))"""
 NORMAL = "case when regexp_full_match(regexp_replace(trim(query), '^0x', ''), '[0-9a-fA-F]{64}') then lower(regexp_replace(trim(query), '^0x', '')) end"
 
 
 def keys(spark, sf_dir):
     """Present hashes as stored, in upper case and with a prefix; absent ones; and texts that are no hash."""
     txs = S.transactions(spark, sf_dir).select("tx_hash")
-    absent = spark.range(2000).select(F.sha2(F.concat(F.lit("absent|"), F.col("id").cast("string")), 256).alias("query"))
-    bad = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("zz", "", "0x", "abc", "g" * 64, "a" * 63)])).alias("query"))
     parts = [txs.where("startswith(tx_hash, '0a')"), txs.where("startswith(tx_hash, '0b0')").select(F.upper("tx_hash")), txs.where("startswith(tx_hash, '0b1')").select(F.concat(F.lit("0x"), "tx_hash"))]
     out = parts[0].withColumnRenamed("tx_hash", "query")
-    for p in (*parts[1:], absent, bad):
+    for p in (*parts[1:], *others(spark)):
+        out = out.union(p)
+    return out
+
+
+def others(spark):
+    """Absent hashes, and texts that are no hash."""
+    absent = spark.range(2000).select(F.sha2(F.concat(F.lit("absent|"), F.col("id").cast("string")), 256).alias("query"))
+    bad = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("zz", "", "0x", "abc", "g" * 64, "a" * 63)])).alias("query"))
+    return absent, bad
+
+
+def every_key(spark, sf_dir):
+    """The hash of every transaction, as stored, in upper case, with a prefix or spoilt by its last digit; and the others of ``keys``."""
+    h = F.col("tx_hash")
+    digit = F.substring(h, 64, 1)
+    form = F.when(digit == "0", F.upper(h)).when(digit == "1", F.concat(F.lit("0x"), h)).when(digit == "2", F.concat(F.substring(h, 1, 63), F.lit("g"))).otherwise(h)
+    out = S.transactions(spark, sf_dir).select(form.alias("query"))
+    for p in others(spark):
         out = out.union(p)
     return out
 
@@ -40,8 +59,8 @@ def stores(spark, sf_dir):
     return own.union(spark.range(1).select(F.lit(99).cast("long"), F.lit(100).cast("long"), F.lit(300).cast("long")))
 
 
-def walked(spark, sf_dir):
-    txs, asked = S.transactions(spark, sf_dir), keys(spark, sf_dir)
+def walked(spark, sf_dir, asked_for=keys):
+    txs, asked = S.transactions(spark, sf_dir), asked_for(spark, sf_dir)
     hashes = asked.where(is_hash(F.col("query"))).select(F.lower("query").alias("tx_hash")).distinct()
     members, slots = J.approximate_index(txs, chunk_of(F.col("ledger_seq"), 5000))
     found = J.probe(hashes, members, slots)
@@ -65,8 +84,8 @@ from (select query, lower(query) as tx_hash from keys where regexp_full_match(qu
 
 
 @query(f"with {L}, {T}, {K} select trim(query) as raw, case when regexp_full_match(trim(query), '[0-9a-fA-F]{{64}}') then lower(trim(query)) end as tx_hash from keys where trim(query) <> ''")
-def hash_list_validate(spark, sf_dir):
-    return lists.hash_list(keys(spark, sf_dir).select(F.col("query").alias("value")))
+def hash_list_validate(spark, sf_dir, asked_for=keys):
+    return lists.hash_list(asked_for(spark, sf_dir).select(F.col("query").alias("value")))
 
 
 @query("select range + 1 as line_no, (range * 7) % 20000 + 2 as ledger_seq from range(500) where range % 10 <> 3 and range % 10 <> 4")
@@ -78,9 +97,9 @@ def ledger_list_parse(spark, sf_dir):
 
 
 @query(f"with {L}, {T}, {K}, asked as (select query, {NORMAL} as tx_hash from keys), data as (select tx_hash, ledger_seq, closed_at, tx_index from txs join ledgers using (ledger_seq)) select query, a.tx_hash, ledger_seq, closed_at, tx_index, case when a.tx_hash is null then 'INVALID_INPUT' when ledger_seq is null then 'NOT_FOUND' else 'FOUND' end as outcome from asked a left join data d on d.tx_hash = a.tx_hash")
-def one_step_lookup(spark, sf_dir):
+def one_step_lookup(spark, sf_dir, asked_for=keys):
     data = D.tx_data(S.ledgers(spark, sf_dir), S.transactions(spark, sf_dir)).drop("envelope", "result")
-    return J.one_step(keys(spark, sf_dir), data)
+    return J.one_step(asked_for(spark, sf_dir), data)
 
 
 TWO = f"""with {L}, {T}, {K}, {SOME}, asked as (select query, {NORMAL} as tx_hash from keys), seqs as (select tx_hash, max(ledger_seq) as ledger_seq from txs group by 1),
@@ -90,31 +109,31 @@ two as (select query, tx_hash, ledger_seq, tx_index, closed_at, case when known_
 case when tx_hash is null then 'INVALID_INPUT' when ledger_seq is null then 'NOT_IN_INDEX' when known_seq is null then 'LEDGER_NOT_FOUND' when tx_index is null then 'NOT_IN_LEDGER' else 'FOUND' end as outcome from steps)"""
 
 
-def two(spark, sf_dir):
+def two(spark, sf_dir, asked_for=keys):
     txs = S.transactions(spark, sf_dir)
-    return J.two_step(keys(spark, sf_dir), D.hash_to_seq(txs), some_ledgers(spark, sf_dir), txs)
+    return J.two_step(asked_for(spark, sf_dir), D.hash_to_seq(txs), some_ledgers(spark, sf_dir), txs)
 
 
 @query(f"{TWO} select * from two")
-def two_step_lookup(spark, sf_dir):
-    return two(spark, sf_dir)
+def two_step_lookup(spark, sf_dir, asked_for=keys):
+    return two(spark, sf_dir, asked_for)
 
 
 @query(f"{TWO} select outcome, count(*) as n, sum(tx_scanned)::bigint as tx_scanned from two group by 1")
-def two_step_outcomes(spark, sf_dir):
-    return two(spark, sf_dir).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("tx_scanned").alias("tx_scanned"))
+def two_step_outcomes(spark, sf_dir, asked_for=keys):
+    return two(spark, sf_dir, asked_for).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("tx_scanned").alias("tx_scanned"))
 
 
 @query(f"""with {L}, {T}, {K}, {SOME}, slots as (select tx_hash[1:4] as slot, min(ledger_seq) as ledger_seq from txs group by 1), members as (select tx_hash, max(ledger_seq) as ledger_seq from txs group by 1), asked as (select query, {NORMAL} as tx_hash from keys),
 steps as (select a.*, coalesce(m.ledger_seq, s.ledger_seq) as seq, s.slot as slot from asked a left join slots s on s.slot = a.tx_hash[1:4] left join members m on m.tx_hash = a.tx_hash)
 select query, tx_hash, case when slot is not null then seq end as ledger_seq, case when tx_hash is null then 'INVALID_INPUT' when slot is null then 'NOT_FOUND_IN_FILTER' when not exists (select 1 from known k where k.ledger_seq = seq) then 'LEDGER_NOT_FOUND' when exists (select 1 from txs t where t.tx_hash = steps.tx_hash and t.ledger_seq = seq) then 'FOUND' else 'FALSE_POSITIVE' end as outcome from steps""")
-def mphf_lookup_outcomes(spark, sf_dir):
+def mphf_lookup_outcomes(spark, sf_dir, asked_for=keys):
     """One approximate index over everything, then the ledger."""
     from ..functions.codecs import normal_hash
 
     txs = S.transactions(spark, sf_dir)
     members, slots = J.approximate_index(txs, F.lit(0).cast("long"))
-    asked = keys(spark, sf_dir).select("query", normal_hash(F.col("query")).alias("tx_hash"))
+    asked = asked_for(spark, sf_dir).select("query", normal_hash(F.col("query")).alias("tx_hash"))
     answers = J.probe(asked.where("tx_hash is not null").select("tx_hash").distinct(), members, slots).drop("index_idx")
     full = asked.join(answers, "tx_hash", "left").join(some_ledgers(spark, sf_dir).select("ledger_seq", F.lit(True).alias("ledger")), "ledger_seq", "left").join(txs.select("tx_hash", "ledger_seq", F.lit(True).alias("tx")).distinct(), ["tx_hash", "ledger_seq"], "left")
     outcome = F.when(F.col("tx_hash").isNull(), "INVALID_INPUT").when(F.col("ledger_seq").isNull(), "NOT_FOUND_IN_FILTER").when(F.col("ledger").isNull(), "LEDGER_NOT_FOUND").when(F.col("tx").isNotNull(), "FOUND").otherwise("FALSE_POSITIVE")
@@ -122,28 +141,28 @@ def mphf_lookup_outcomes(spark, sf_dir):
 
 
 @query(f"{WALK} select query, tx_hash, outcome, n_visited, success_seq from classes")
-def multi_index_outcomes(spark, sf_dir):
-    asked, walk = walked(spark, sf_dir)
+def multi_index_outcomes(spark, sf_dir, asked_for=keys):
+    asked, walk = walked(spark, sf_dir, asked_for)
     return J.classified(asked, walk).drop("path")
 
 
 @query(f"{WALK} select (select count(*) from classes) as processed, (select count(*) from classes where outcome in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL')) as success, (select count(*) from classes where outcome not in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL')) as failed, (select count(*) from keys where not regexp_full_match(query, '[0-9a-fA-F]{{64}}')) as invalid")
-def outcome_totals(spark, sf_dir):
-    asked, walk = walked(spark, sf_dir)
+def outcome_totals(spark, sf_dir, asked_for=keys):
+    asked, walk = walked(spark, sf_dir, asked_for)
     return J.outcome_totals(asked, J.classified(asked, walk))
 
 
 @query(f"""{WALK}, tuples as (select tx_hash, coalesce(string_agg('(' || ledger_seq || ',' || coalesce(strftime(closed_at, '%Y-%m-%dT%H:%M:%SZ'), 'x') || ')', ',' order by index_idx), '') as t from (select w.* from walk w join per p using (tx_hash) where p.success_seq is null or w.ledger_seq <> p.success_seq) group by 1)
 select tx_hash, case when outcome = 'FALSE_POSITIVE_PARTIAL' then concat_ws('|', outcome, tx_hash, success_seq, coalesce(t, '')) when outcome = 'RECSPLIT_NOT_FOUND' then concat_ws('|', outcome, tx_hash) else concat_ws('|', outcome, tx_hash, coalesce(t, '')) end as line from classes left join tuples using (tx_hash) where outcome not in ('SUCCESS', 'LEDGER_NOT_FOUND', 'LEDGER_IN_MULTIPLE_DBS')""")
-def error_log_lines(spark, sf_dir):
-    asked, walk = walked(spark, sf_dir)
+def error_log_lines(spark, sf_dir, asked_for=keys):
+    asked, walk = walked(spark, sf_dir, asked_for)
     return J.error_lines(J.classified(asked, walk).where("outcome not in ('LEDGER_NOT_FOUND', 'LEDGER_IN_MULTIPLE_DBS')"))
 
 
 @query(f"""{WALK}, f as (select '"failures":{{' || string_agg('"' || outcome || '":' || n, ',' order by outcome) || '}}' as f from (select outcome, count(*) as n from classes where outcome not in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL') group by 1))
 select '{{"processed":' || (select count(*) from classes) || ',"success":' || (select count(*) from classes where outcome in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL')) || ',"failed":' || (select count(*) from classes where outcome not in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL')) || ',"invalid":' || (select count(*) from keys where not regexp_full_match(query, '[0-9a-fA-F]{{64}}')) || ',' || f || '}}' as summary from f""")
-def failure_json(spark, sf_dir):
-    asked, walk = walked(spark, sf_dir)
+def failure_json(spark, sf_dir, asked_for=keys):
+    asked, walk = walked(spark, sf_dir, asked_for)
     classes = J.classified(asked, walk)
     return J.summary_json(J.outcome_totals(asked, classes), classes)
 
@@ -168,7 +187,22 @@ def multi_store_conflicts(spark, sf_dir):
 
 
 @query(f"with {L}, {T}, {K}, slots as (select distinct tx_hash[1:4] as slot from txs) select distinct lower(query) as tx_hash from keys where regexp_full_match(query, '[0-9a-fA-F]{{64}}') and lower(query)[1:4] in (select slot from slots)")
-def filter_semi_join(spark, sf_dir):
+def filter_semi_join(spark, sf_dir, asked_for=keys):
     _, slots = J.approximate_index(S.transactions(spark, sf_dir), F.lit(0))
-    hashes = keys(spark, sf_dir).where(is_hash(F.col("query"))).select(F.lower("query").alias("tx_hash")).distinct()
+    hashes = asked_for(spark, sf_dir).where(is_hash(F.col("query"))).select(F.lower("query").alias("tx_hash")).distinct()
     return J.maybe_present(hashes, slots)
+
+
+def over_all(name):
+    """The query ``name`` over the hashes of the whole table, as ``name``_all."""
+    own = QUERIES[name]
+
+    def run(spark, sf_dir):
+        return own(spark, sf_dir, every_key)
+
+    run.__name__ = f"{name}_all"
+    return query(SQL[name].replace(K, K_ALL))(run)
+
+
+for _name in ("hash_list_validate", "one_step_lookup", "two_step_lookup", "two_step_outcomes", "mphf_lookup_outcomes", "multi_index_outcomes", "outcome_totals", "error_log_lines", "failure_json", "filter_semi_join"):
+    over_all(_name)

@@ -109,14 +109,28 @@ def stream_lookup_totals(spark, sf_dir):
     k = F.row_number().over(Window.orderBy("tx_hash"))
     asked = txs.where("startswith(tx_hash, '0a')").select("tx_hash", k.alias("k"))
     line = F.when(F.col("k") % 5 == 1, F.sha2("tx_hash", 256)).when(F.col("k") % 5 == 2, F.lit("zz")).otherwise(F.concat(F.lit("0x"), F.upper("tx_hash")))
+    return totals_of(spark, asked.select(line.alias("value")), txs)
+
+
+def totals_of(spark, lines, txs):
+    """Running totals of a stream of ``lines(value)`` and of commands."""
     commands = spark.range(1).select(F.explode(F.array(F.lit("stats"), F.lit(""), F.lit("STOP"))).alias("value"))
     folder = new_path(spark, "stdin")
-    asked.select(line.alias("value")).union(commands).repartition(3).write.text(folder)
+    lines.union(commands).repartition(3).write.text(folder)
     name = f"totals_{folder[-12:]}"
     stream.run_totals(spark, folder, D.hash_to_seq(txs), txs, new_path(spark, "progress"), name).awaitTermination()
     return spark.table(name)
 
 
+@query(f"with {T} select case tx_hash[64] when '1' then 'NOT_IN_INDEX' when '2' then 'INVALID_INPUT' else 'FOUND' end as outcome, count(*) as n from txs group by 1")
+def stream_lookup_totals_all(spark, sf_dir):
+    """The same for every transaction; the last digit of its hash says which are spoilt."""
+    txs = S.transactions(spark, sf_dir)
+    digit = F.substring("tx_hash", 64, 1)
+    line = F.when(digit == "1", F.sha2("tx_hash", 256)).when(digit == "2", F.lit("zz")).otherwise(F.concat(F.lit("0x"), F.upper("tx_hash")))
+    return totals_of(spark, txs.select(line.alias("value")), txs)
+
+
 @query("select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1")
 def stream_ingest(spark, sf_dir):
     """Micro-batches of orders upserted into a table of each customer's last order."""
@@ -138,6 +152,11 @@ def query_list_with_absent(spark, sf_dir):
     return lists.shuffled_with_absent(S.transactions(spark, sf_dir).where("startswith(tx_hash, '0c')"), 100, 7)
 
 
+@query(f"with {T} select tx_hash from txs union all select sha256('absent|' || range) from range(100)")
+def query_list_with_absent_all(spark, sf_dir):
+    return lists.shuffled_with_absent(S.transactions(spark, sf_dir), 100, 7)
+
+
 @query("select 50::bigint as n, 50::bigint as distinct_n, true as inside")
 def sampled_ledgers(spark, sf_dir):
     """A sample without replacement; which ledgers it has depends on the seed."""
