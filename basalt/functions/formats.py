@@ -29,11 +29,12 @@ def human_bytes(n: Column, decimals: int = 2) -> Column:
 
 
 def human_duration(ns: Column) -> Column:
-    """ns, µs, ms, s to three decimals; minutes and hours in whole parts."""
+    """ns, µs, ms, s to three decimals; minutes and hours in whole parts. Null for null."""
     s = ns.cast("double") / 1e9
     whole = F.floor(s)
     return (
-        F.when(ns < 1000, F.format_string("%dns", ns))
+        F.when(ns.isNull(), F.lit(None).cast("string"))
+        .when(ns < 1000, F.format_string("%dns", ns))
         .when(ns < 1_000_000, F.format_string("%.3fµs", ns / 1e3))
         .when(ns < 1_000_000_000, F.format_string("%.3fms", F.floor(ns / 1000) / 1e3))
         .when(ns < 60_000_000_000, F.format_string("%.3fs", s))

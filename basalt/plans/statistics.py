@@ -212,7 +212,7 @@ def copy_stats(spark, sf_dir):
 
 @query("select doc_id, n_chars as ns, case when n_chars < 1000 then n_chars || 'ns' else printf('%.3f', n_chars / 1e3) || 'µs' end as text, case when n_chars > 80 then regexp_replace(lang || repeat('x', 100), '(.{1,80})', '\\1' || chr(10), 'g') else lang end as wrapped from documents where n_chars < 1000000")
 def format_texts(spark, sf_dir):
-    d = S.table(spark, sf_dir, "documents").where("n_chars < 1000000")
+    d = S.table(spark, sf_dir, "documents")
     wrapped = F.when(F.col("n_chars") > 80, H.wrapped(F.concat("lang", F.repeat(F.lit("x"), 100)))).otherwise(F.col("lang"))
     return d.select("doc_id", F.col("n_chars").alias("ns"), H.human_duration(F.col("n_chars")).alias("text"), wrapped.alias("wrapped"))
 

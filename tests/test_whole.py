@@ -16,3 +16,11 @@ def test_every_transaction_is_asked_for(spark, sf_dir):
 def test_totals_count_every_transaction(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert sum(r.n for r in registry.QUERIES[name](spark, sf_dir).collect()) == n + (2006 if name.startswith("two") else 0)
+
+
+def test_texts_of_all_lengths_are_formatted(spark, tmp_path):
+    rows = [(1, 999), (2, 1_000_000), (3, 1_500_000_000), (4, 61_000_000_000), (5, 3_661_000_000_000), (6, None)]
+    spark.createDataFrame([(k, "t", "en", "s", n) for k, n in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.ns, r.text, r.wrapped == "en") for r in registry.QUERIES["format_texts"](spark, str(tmp_path)).collect()}
+    texts = ["999ns", "1.000ms", "1.500s", "1m1s", "1h1m1s", None]
+    assert got == {k: (n, t, n is None) for (k, n), t in zip(rows, texts, strict=True)}
