@@ -22,6 +22,19 @@ def missing_ledgers(spark, sf_dir):
     return S.missing(S.ledgers(spark, sf_dir).where("ledger_seq % 97 <> 0"), 2, 20001)
 
 
+def ends(rows):
+    """The least and the greatest sequence of a ledger table; (2, 1), a range of nothing, if it is empty."""
+    first, last = rows.agg(F.min("ledger_seq"), F.max("ledger_seq")).first()
+    return (2, 1) if first is None else (first, last)
+
+
+@query(f"with {L} select * from (select unnest(range((select min(ledger_seq) from ledgers), (select max(ledger_seq) + 1 from ledgers))) as ledger_seq) where ledger_seq not in (select ledger_seq from ledgers where ledger_seq % 97 <> 0)")
+def missing_ledgers_all(spark, sf_dir):
+    """The same from the first to the last ledger of the table."""
+    every = S.ledgers(spark, sf_dir)
+    return S.missing(every.where("ledger_seq % 97 <> 0"), *ends(every))
+
+
 @query(f"with {L} select (ledger_seq - 2) // 5000 as store_id, min(ledger_seq) as first, max(ledger_seq) as last from ledgers group by 1")
 def store_range_minmax(spark, sf_dir):
     return S.ledgers(spark, sf_dir).groupBy(chunk_of(F.col("ledger_seq"), 5000).alias("store_id")).agg(F.min("ledger_seq").alias("first"), F.max("ledger_seq").alias("last"))
@@ -70,6 +83,15 @@ def batch_assignment(spark, sf_dir):
     return D.batches(S.ledgers(spark, sf_dir).where("ledger_seq % 97 <> 0"), 2, 10001, 700)
 
 
+@query(f"""with {L}, ends as (select min(ledger_seq) as a, max(ledger_seq) as z from ledgers), planned as (select batch_no, a + (batch_no - 1) * 700 as first_planned, least(z, a - 1 + batch_no * 700) as last_planned from (select a, z, unnest(range(1, (z - a) // 700 + 2)) as batch_no from ends))
+select batch_no, first_planned, last_planned, count(ledger_seq) as found, min(ledger_seq) as first_found, max(ledger_seq) as last_found, last_planned - first_planned + 1 - count(ledger_seq) as skipped
+from planned left join ledgers on ledger_seq % 97 <> 0 and ledger_seq between first_planned and last_planned group by batch_no, first_planned, last_planned""")
+def batch_assignment_all(spark, sf_dir):
+    """The same from the first to the last ledger of the table."""
+    every = S.ledgers(spark, sf_dir)
+    return D.batches(every.where("ledger_seq % 97 <> 0"), *ends(every), 700)
+
+
 @query("""with rows_ as (select o_custkey as k, o_orderkey // 2000 as batch_no, o_orderkey as ord, o_orderpriority as value from orders)
 select k, batch_no, ord, value from rows_ qualify row_number() over (partition by k order by batch_no desc, ord desc) = 1""")
 def upsert_last_wins(spark, sf_dir):

@@ -24,3 +24,12 @@ def test_texts_of_all_lengths_are_formatted(spark, tmp_path):
     got = {r.doc_id: (r.ns, r.text, r.wrapped == "en") for r in registry.QUERIES["format_texts"](spark, str(tmp_path)).collect()}
     texts = ["999ns", "1.000ms", "1.500s", "1m1s", "1h1m1s", None]
     assert got == {k: (n, t, n is None) for (k, n), t in zip(rows, texts, strict=True)}
+
+
+def test_ledgers_are_examined_to_the_ends_of_the_table(spark, tmp_path):
+    spark.range(30_000, 60_000).selectExpr("id as o_orderkey", "timestamp_ntz '1996-01-01 00:00:00' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    missing = [r.ledger_seq for r in registry.QUERIES["missing_ledgers_all"](spark, str(tmp_path)).collect()]
+    assert sorted(missing) == [k for k in range(30_002, 60_002) if k % 97 == 0]
+    rows = registry.QUERIES["batch_assignment_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == 43 and sum(r.found for r in rows) == 30_000 - len(missing) and sum(r.skipped for r in rows) == len(missing)
+    assert (min(r.first_planned for r in rows), max(r.last_planned for r in rows)) == (30_002, 60_001)
