@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -29,11 +31,25 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df._staged_at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows from here on: texts are long, and each batch is held several times."""
+def in_small_batches(operator, rows: int = 1000):
+    """Run ``operator`` with Arrow batches of at most ``rows`` rows: texts are long, and each batch is held several times.
+
+    The session's setting is as before when the operator returns.
+    """
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= rows:
-        spark.conf.set(setting, str(rows))
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = conf.get(setting)
+        if not 0 < int(before) <= rows:
+            conf.set(setting, str(rows))
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.set(setting, before)
+
+    return run
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -42,12 +58,13 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def text_buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the offsets of its rows (nulls are empty)."""
+    """Bytes of a string (UTF-8) or binary column and the offsets of its rows (nulls are empty)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    raw = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
     if col.null_count:
-        col = col.fill_null("")
-    col = col.cast(pa.large_string())
+        col = col.fill_null(b"" if raw else "")
+    col = col.cast(pa.large_binary() if raw else pa.large_string())
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offs, data = col.buffers()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_buffer
+from .common import in_small_batches, staged, text_buffer
 
 #: Bytes of words are kept, A-Z lower-cased; all others separate.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -190,6 +190,7 @@ def search(postings: DataFrame, terms: Terms, keep: list[str]) -> DataFrame:
     return postings.mapInArrow(run, f"{schema}, n_words long, spans array<long>, items array<string>")
 
 
+@in_small_batches
 def proximity(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), slop: int = 2) -> DataFrame:
     """Matches in any order: (doc_id, item_id, first, end) where all words of a window, with their numbers
     of occurrences, lie within ``window + slop`` consecutive words. The shortest such stretch from each start."""
@@ -248,9 +249,9 @@ def stretches(t: np.ndarray, at: np.ndarray, need: Counter, most: int):
             yield at[left], at[right] + 1
 
 
+@in_small_batches
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id), n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     found = []
     parts = list(blocks(benchmark, p)) or [[]]

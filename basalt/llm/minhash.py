@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, staged
+from .common import discard, in_small_batches, staged
 from .components import components
 
 
@@ -211,9 +211,9 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, p: Params) -
     return dealt.mapInArrow(by_group, f"a {kind}, b {kind}")
 
 
+@in_small_batches
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
     sigs = staged(signatures(docs, p), "signatures")
     # written first, so that Spark can split a large class in the join with its smallest member
     stands = staged(sigs.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1 and rep is not null").drop("n"), "stands")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import in_small_batches, staged
 
 
 @dataclass(frozen=True)
@@ -149,9 +149,9 @@ def plan(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(slots), dtype=np.int64).reshape(-1, 4), sequence
 
 
+@in_small_batches
 def pack(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
     cutup = staged(pieces(docs, p), "pieces")
     total = cutup.count()
     buckets = min(max(64, total // p.rows_per_bucket), p.max_buckets)

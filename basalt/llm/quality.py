@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, spans, text_buffer
+from .common import fold, in_small_batches, spans, text_buffer
 
 FEATURES = [
     "log_bytes", "log_words", "log_lines", "upper", "lower", "digit", "space", "high", "symbol", "stop", "comma", "word_mean", "word_max",
@@ -145,6 +145,7 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
+@in_small_batches
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict:
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("label").cast("int")) > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_rows)
@@ -162,7 +163,6 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees x nodes: fixed by the parameters
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, LOWER_NP, small_batches, spans, text_buffer
+from .common import fold, LOWER_NP, in_small_batches, spans, text_buffer
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -144,6 +144,7 @@ def fit(bag_rows: list, p: Params) -> tuple[np.ndarray, float]:
     return (emb @ out * p.scale).astype(np.float32), bias
 
 
+@in_small_batches
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Fit on a bounded sample: the first ids in hash order of each class."""
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("y"))
@@ -158,7 +159,6 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], p: Params = Params(), name: str = "score") -> DataFrame:
     """``keep`` columns of ``docs`` (with ``text`` read) and the score, as ``name``."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits floats
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 

@@ -131,7 +131,9 @@ def test_lm_equals_brute_force(spark, depth):
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(rng.choice(["The", "cat", "sat\non", "élan", "xyzzy", "A"], rng.integers(0, 12)))) for k in range(60)] + [(60, None), (61, ""), (62, "unseen WORDS"), (62, "unseen WORDS")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("row", F.lit(1))
-    got = lm.score(docs, lm.Params(depth=depth, part_rows=100, frequent_words=2)).collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = lm.score(docs, lm.Params(depth=depth, shard_bytes=200, shard_rows=150, buckets=7, group_rows=50, chunk_bytes=64)).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert len(got) == len(rows)
     data = {k: (t or "").encode().lower() for k, t in rows}
     learn = [(t or "").encode().lower() for k, t in rows if zlib.crc32(str(k).encode()) % 10]
@@ -142,7 +144,8 @@ def test_lm_equals_brute_force(spark, depth):
         ws = [*data[r.doc_id].split(), None]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0, len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r.score == pytest.approx(p(data[r.doc_id]), rel=1e-4)
+        assert r.score == pytest.approx(p(data[r.doc_id]), rel=1e-6)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(data[r.doc_id]) + 1))
     one = lm.score(docs, lm.Params(depth=depth)).collect()
     assert sorted((r.doc_id, round(r.score, 3)) for r in one) == sorted((r.doc_id, round(r.score, 3)) for r in got)
 
@@ -157,6 +160,41 @@ def test_lm_edge_tables(spark):
     assert lm.score(long).where("doc_id = 1").first().n_tokens == 100001
 
 
+def test_lm_at_large_counts():
+    """A context that was seen a hundred million times with one byte: all others stay finite, and all bytes add up to one."""
+    key = np.array([(int.from_bytes(b"abcde", "big") << 8) | x for x in range(256)])
+    n = np.zeros(256, np.int64)
+    n[ord("f")] = 10**8
+    _, (node, a, b, log_p) = lm.deep(key, n, 5)
+    level = lm.Level(node, a, b, log_p)
+    mix = lm.shallow(level.key, level.a, level.b, np.bincount(level.up, log_p, len(level.key)))
+    got = lm.log10_of(key, n, 5, mix)
+    assert np.isfinite(got).all() and (10**got).sum() == pytest.approx(1, abs=1e-12)
+    # eight decisions of 1e8 + 1 trials in one context of each depth, all of which agree
+    assert got[ord("f")] == pytest.approx(8 * math.log10((10**8 + 0.5) / (10**8 + 1)), rel=1e-6)
+    assert got[ord("g")] == pytest.approx(7 * math.log10((10**8 + 0.5) / (10**8 + 1)) + math.log10(0.5 / (10**8 + 1)), abs=1e-6)
+
+
+@pytest.mark.parametrize("parts", ["1", "60"])
+def test_lm_does_not_depend_on_splits(spark, sf_dir, parts):
+    """Files are split otherwise while the job runs, as when executors come and go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    expected = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    inner = lm.summed
+
+    def moved(*args):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        return inner(*args)
+
+    try:
+        lm.summed = moved
+        got = {r.doc_id: r.score for r in lm.score(docs, lm.Params(shard_bytes=1 << 16, shard_rows=20_000, buckets=64)).collect()}
+    finally:
+        lm.summed = inner
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(got) == len(expected) and all(got[k] == pytest.approx(expected[k], rel=1e-6) for k in expected)
+
+
 def test_lookup_table():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(-(2**62), 2**62, 5000))
