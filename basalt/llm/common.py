@@ -87,7 +87,25 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_NP = np.frombuffer(LOWER, np.uint8)
 
 
-def without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``ids``; ids are broadcast only if they are few."""
-    ids = staged(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in ``ids``; ids are broadcast only if they are few."""
+    ids = staged(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_anti").select(*docs.columns)
+
+
+ODD_KEY = 1 << 62
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a column ``key`` that is the doc_id of rows which alone have it.
+
+    Rows with a null doc_id and rows that share one get a number from ODD_KEY on, by a hash of doc_id and text: rows are
+    judged each by its own text, and only those equal in both share a key.
+    """
+    again = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    own = F.lit(ODD_KEY) + F.xxhash64("doc_id", "text").bitwiseAND((1 << 61) - 1)
+    if again.isEmpty():
+        return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own))
+    alone = docs.join(again, "doc_id", "left_anti").select(*docs.columns)
+    shared = docs.join(again, "doc_id", "left_semi").select(*docs.columns)
+    return alone.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), own)).unionByName(shared.withColumn(key, own))

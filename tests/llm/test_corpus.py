@@ -20,7 +20,6 @@ PACK = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokeni
 
 def held_to_tokenizer(rows, got):
     t = Tokenizer.from_file(PACK.tokenizer)
-    t.encode_special_tokens = True
     places, total = defaultdict(list), 0
     by_doc = defaultdict(list)
     for r in got:
@@ -55,6 +54,18 @@ def test_packing_whole_documents(spark, sf_dir):
     assert packing.pack(twice, PACK).count() == 2 * packing.pack(docs.limit(1), PACK).count()
 
 
+def test_ids_are_those_of_the_tokenizer_file():
+    """Random strings, with all characters for which the rank table stands in, and literal special tokens."""
+    rng = random.Random(5)
+    plain = [chr(c) for c in range(0x2FF) if packing.PLAIN.fullmatch(chr(c))] + list("\u2010\u2019\u2026\u20ac")
+    bits = ["'s", "'ll", "  ", "\n\n", "<|", "|>", "<|endoftext|>", "\u00e9", "12", "don't", "\t x", "\u65e5\u672c", "\U0001f600", "\x85", "\u2028"]
+    t, encode = Tokenizer.from_file(PACK.tokenizer), packing.Encoder(PACK)
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) if rng.random() < 0.2 else rng.choice(plain) for _ in range(rng.randint(0, 60)))
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_bins_are_full_and_whole():
     rng = np.random.default_rng(4)
     for n in (0, 1, 7, 3000):
@@ -209,11 +220,15 @@ def test_pipeline(spark, sf_dir):
 
 def test_stages_take_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
-    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "same words here", "en", "s", 1), (10**6 + 2, "same words here", "en", "s", 1), (None, "w x", None, None, None)], docs.schema)
+    item = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "same words here", "en", "s", 1), (10**6 + 2, "same words here", "en", "s", 1), (None, "w x", None, None, None), (10**6 + 3, "one text", "en", "s", 1), (10**6 + 3, "another text of it", "en", "s", 1), (None, item, None, None, None)], docs.schema)
     every = docs.unionByName(odd).withColumn("score", F.lit(1)).withColumn("kept", F.lit("k")).withColumn("count", F.lit(2))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, every, sf_dir)
-        assert out.columns == every.columns
+        assert name == "packing" or out.columns == every.columns
         assert stage(spark, every.where("false"), sf_dir).count() == 0
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in every.collect()}
     once = corpus_pipeline.drop_near_duplicates(spark, every, sf_dir)
-    assert once.where("doc_id = 1000002").count() == 1 and once.where("doc_id is null").count() == 1
+    assert once.where("doc_id = 1000002").count() == 1 and once.where("doc_id is null").count() == 2 and once.where("doc_id = 1000003").count() == 2
+    clean = corpus_pipeline.drop_contaminated(spark, every, sf_dir)
+    assert [r.text for r in clean.where("doc_id is null").collect()] == ["w x"] and clean.where("doc_id = 1000002").count() == 2
