@@ -148,6 +148,39 @@ def test_warc_round_trip(spark, block):
     assert next(r.uri for r in got if r.page_id == "1") == "http://a/%0D%0AX: y"
 
 
+def test_warc_does_not_depend_on_blocks(spark):
+    """Files are cut into other blocks for the second pass, as when executors come and go."""
+    fake = "WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    rows = [(k, "u", fake * (k % 7) + f"{k} " * (k % 50) + "WARC/1." * (k % 3)) for k in range(600)]
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    inner = warc.entries
+
+    def moved(found):
+        out = warc.staged(inner(found))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+        return out
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        warc.entries = moved
+        got = warc.read(spark, path).collect()
+    finally:
+        warc.entries = inner
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    digest = {k: hashlib.sha256(t.encode()).hexdigest() for k, _, t in rows}
+    assert len(got) == len(rows) and all(r.payload_digest == digest[int(r.page_id)] for r in got)
+
+
+def test_warc_of_other_archives(spark, tmp_path):
+    """Version 1.0, other record types, and blocks that are no HTTP message."""
+    record = lambda version, kind, content, block: f"WARC/{version}\r\nWARC-Type: {kind}\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+    http = "HTTP/1.1 200 OK\r\n\r\nhi WARC/1.1"
+    (tmp_path / "a.warc").write_text(record("1.0", "warcinfo", "application/warc-fields", "a: 1\r\n\r\n") + record("1.0", "response", "application/http; msgtype=response", http) + record("1.1", "response", "application/http", http), newline="")
+    got = sorted((r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == [("response", 11, sha(b"hi WARC/1.1")), ("response", 11, sha(b"hi WARC/1.1")), ("warcinfo", 8, sha(b"a: 1\r\n\r\n"))]
+
+
 def test_warc_of_odd_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(empty)).count() == 0
