@@ -43,7 +43,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
