@@ -9,7 +9,9 @@ numpy walks for a whole batch at once.
 Defined results: null and empty texts have zero statistics and are scored as such. Repeated rows
 are scored each; an empty table gives an empty result; without labels of both classes the score
 is the constant share of positives (0.0 without labels). Labels that are null are left out; of
-several labels for a doc_id the larger counts.
+several labels for a doc_id the larger counts. Of several rows of a labelled doc_id (ties) one is
+learned from, the least by its statistics. Long texts count whole. Other columns, whatever their
+names, are never read.
 """
 
 from __future__ import annotations
@@ -154,9 +156,12 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict:
         for b in batches:
             raw, off = text_buffer(b.column("text"))
             x = statistics(raw, off, p.chunk_bytes)
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(run, "y int, x binary").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, x binary")
+    # one row for each id of the sample, however many rows have it
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("r.*").collect()
     rows = sorted((int(r[0]), bytes(r[1])) for r in rows)
     x = np.array([np.frombuffer(r[1], "<f8") for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[0] for r in rows], float), p)

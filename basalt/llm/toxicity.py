@@ -12,7 +12,9 @@ covers whole texts and needs no shuffle.
 Defined results: null and empty texts, and texts without word characters, get the score of the
 bias alone. Repeated rows are scored each; an empty table gives an empty result; without labels
 of both classes the score is the constant share of positives (0.0 without labels). Labels that
-are null are left out; of several labels for a doc_id the larger counts.
+are null are left out; of several labels for a doc_id the larger counts. Of several rows of a labelled
+doc_id (ties) one is learned from, the least by its bag. Long texts count whole. Other columns, whatever
+their names, are never read.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ class Params:
     n_min: int = 2
     n_max: int = 4
     bits: int = 16  # at most 16: the sample's bags hold buckets in two bytes
-    dim: int = 2
-    epochs: int = 12
+    dim: int = 16
+    epochs: int = 6
+    least_steps: int = 2000  # small samples are gone through more often
     batch: int = 32
     rate: float = 0.3
     scale: float = 100.0
@@ -81,7 +84,7 @@ def grams(raw: np.ndarray, off: np.ndarray, p: Params):
 
 
 def bags(p: Params):
-    """mapInArrow function: (doc_id, y, text) to (y, ids, weights), a sparse bag for each row."""
+    """mapInArrow function: (doc_id, y, text) to (doc_id, y, ids, weights), a sparse bag for each row."""
 
     def run(batches):
         for b in batches:
@@ -95,53 +98,54 @@ def bags(p: Params):
                     own, n = np.unique(own[own >= 0], return_counts=True)
                     ids.append(own.astype("<u2").tobytes())
                     weights.append((SHARE * n / (n.sum() + p.prior)).astype("<f2").tobytes())
-            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "ids": pa.array(ids, pa.binary()), "weights": pa.array(weights, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": pa.array(y, pa.int32()), "ids": pa.array(ids, pa.binary()), "weights": pa.array(weights, pa.binary())})
 
     return run
 
 
 def fit(bag_rows: list, p: Params) -> tuple[np.ndarray, float]:
-    """Train on the sample's bags. Returns the logit of each bucket (scaled) and the bias.
+    """Train embeddings and softmax together on the sample's bags. Returns the logit of each bucket (scaled) and the bias.
 
-    The softmax over two classes depends on the difference of its rows only, so one row is kept;
-    after training, embedding times that row is one number for each bucket.
+    The softmax has a row of ``dim`` weights for each class. Its score of a text depends on the difference of the two rows only,
+    so after training each bucket's embedding times that difference is one number, and texts are scored from those.
     """
     y = np.array([r[0] for r in bag_rows], np.float32)
-    logits = np.zeros(1 << p.bits, np.float32)
+    size = 1 << p.bits
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return logits, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+        return np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     ids = [np.frombuffer(r[1], "<u2") for r in bag_rows]
     wts = [np.frombuffer(r[2], "<f2") for r in bag_rows]
+    n_ids = np.array([len(x) for x in ids])
     rng = np.random.default_rng(7)
-    size = 1 << p.bits
     emb = rng.uniform(-1.0 / p.dim, 1.0 / p.dim, (size, p.dim)).astype(np.float32)
-    out = rng.uniform(-1.0, 1.0, p.dim).astype(np.float32)
+    soft = rng.uniform(-1.0, 1.0, (2, p.dim)).astype(np.float32) / np.float32(np.sqrt(p.dim))
     bias = float(np.log(y.mean() / (1 - y.mean())))
-    emb_sq, out_sq, bias_sq = np.full(size, 1e-6, np.float32), np.full(p.dim, 1e-6, np.float32), 1e-6
-    for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
-        order = rng.permutation(len(y))
+    emb_sq, soft_sq, bias_sq = np.full(size, 1e-6, np.float32), np.full(soft.shape, 1e-6, np.float32), 1e-6
+    epochs = max(p.epochs, -(-p.least_steps * p.batch // len(y)))
+    for epoch in range(epochs):
+        rate = p.rate * (1 - epoch / epochs)
+        order = rng.permutation(np.flatnonzero(n_ids))
         for s in range(0, len(order), p.batch):
             pick = order[s : s + p.batch]
             i = np.concatenate([ids[k] for k in pick])
-            if not len(i):
-                continue
             w = np.concatenate([wts[k] for k in pick]).astype(np.float32) * np.float32(p.scale / SHARE)
-            d = np.repeat(np.arange(len(pick)), [len(ids[k]) for k in pick])
-            used, inv = np.unique(i, return_inverse=True)
-            h = np.stack([np.bincount(d, w * emb[i, c], len(pick)) for c in range(p.dim)], 1)
-            g = (1 / (1 + np.exp(-np.clip(h @ out + bias, -30, 30))) - y[pick]) / len(pick)
-            step_out = g @ h
-            back = np.bincount(inv, w * g[d], len(used)).astype(np.float32)
-            step = back[:, None] * out[None, :]
-            emb_sq[used] += np.square(step).sum(1)
-            emb[used] -= rate * step / np.sqrt(emb_sq[used])[:, None]
-            out_sq += np.square(step_out).astype(np.float32)
-            out = (out - rate * step_out / np.sqrt(out_sq)).astype(np.float32)
+            first = np.cumsum(n_ids[pick]) - n_ids[pick]
+            d = np.repeat(np.arange(len(pick)), n_ids[pick])
+            h = np.add.reduceat(emb[i] * w[:, None], first)
+            row = soft[1] - soft[0]
+            g = ((1 / (1 + np.exp(-np.clip(h @ row + bias, -30, 30))) - y[pick]) / len(pick)).astype(np.float32)
+            back = np.bincount(i, w * g[d], size)
+            used = np.flatnonzero(back)
+            back = back[used].astype(np.float32)  # times the difference of rows: the gradient of a bucket
+            emb_sq[used] += np.square(back) * np.square(row).sum()
+            emb[used] -= (rate * back / np.sqrt(emb_sq[used]))[:, None] * row
+            step = np.stack([-(g @ h), g @ h])
+            soft_sq += np.square(step)
+            soft -= np.float32(rate) * step / np.sqrt(soft_sq)
             bias_sq += float(g.sum()) ** 2
             bias -= rate * float(g.sum()) / bias_sq**0.5
-    return (emb @ out * p.scale).astype(np.float32), bias
+    return (emb @ (soft[1] - soft[0]) * p.scale).astype(np.float32), bias
 
 
 @in_small_batches
@@ -151,8 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("y > 0").orderBy(*order).limit(p.max_positive).unionByName(known.where("y <= 0").orderBy(*order).limit(p.max_negative))
     sample = sample.withColumn("y", (F.col("y") > 0).cast("int"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
-    got = rows.mapInArrow(bags(p), "y int, ids binary, weights binary").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # one row for each id of the sample, however many rows have it
+    got = rows.mapInArrow(bags(p), f"doc_id {kind}, y int, ids binary, weights binary").groupBy("doc_id").agg(F.min(F.struct("y", "ids", "weights")).alias("r")).select("r.*").toArrow()
     got = [(y.as_py(), i.as_buffer(), w.as_buffer()) for y, i, w in zip(*got.columns, strict=True)]
     return fit(sorted(got, key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2]))), p)
 
