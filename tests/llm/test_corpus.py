@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -99,7 +99,7 @@ def brute_hits(docs, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("p", [decontamination.Params(), decontamination.Params(window=3, block_words=40)])
+@pytest.mark.parametrize("p", [decontamination.Params(), decontamination.Params(window=3, block_words=40), decontamination.Params(window=4, segment_bytes=90, slice_rows=5, cache_words=3)])
 def test_decontamination_equals_brute_force(spark, sf_dir, p):
     random.seed(1)
     items = [(k, " ".join(random.choices("ab cd ef Gh é9 x,y".split(), k=random.choice([0, 1, 2, 5, 13, 14, 20])))) for k in range(40)] + [(40, None), (41, "same same same same"), (42, "same same same same")]
@@ -124,6 +124,36 @@ def test_proximity(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "7", 0, 3), (2, "7", 0, 5)]
 
 
+@pytest.mark.parametrize("p", [decontamination.Params(window=3), decontamination.Params(window=3, segment_bytes=40, slice_rows=3, block_words=6)])
+def test_proximity_equals_brute_force(spark, p):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices("a b c d e f".split(), k=n))
+    docs, items = [(k, text(rng.randint(0, 25))) for k in range(40)], [(k, text(rng.randint(1, 5))) for k in range(8)]
+    expected = set()
+    for d, t in docs:
+        ws = t.split()
+        for k, own in items:
+            own = own.split()
+            n = min(3, len(own))
+            for s in range(len(own) - n + 1):
+                need = sorted(own[s : s + n])
+                holds = lambda a, e: not list((Counter(need) - Counter(ws[a:e])).elements())  # noqa: B023, E731
+                expected |= {(d, str(k), a, e) for a in range(len(ws)) for e in range(a + 1, min(len(ws), a + n + 2) + 1) if holds(a, e) and not holds(a + 1, e) and not holds(a, e - 1)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.proximity(frame, spark.createDataFrame(items, "item_id long, text string"), p, slop=2)
+    assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_one_index_serves_two_benchmarks(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, None)], "doc_id long, text string")
+    p = decontamination.Params(window=2)
+    segments = decontamination.staged(decontamination.index(docs, ["doc_id"], p))
+    for item, ids in (("b c", {1}), ("y z", {2}), ("z x", set())):
+        bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+        got = decontamination.decontaminate(docs.where("false"), bench, p, segments=segments).collect()
+        assert len(got) == 3 and {r.doc_id for r in got if r.contaminated} == ids
+
+
 @pytest.mark.parametrize("block", ["128m", "3k"])
 def test_warc_round_trip(spark, block):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
