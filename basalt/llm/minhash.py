@@ -6,20 +6,24 @@ the first collection with one of the second, so ``sketches ** 2`` tables cost on
 ``2 * sketches * half`` minhashes. Documents with a common key are candidates.
 
 1. Documents with equal sets are one class; its smallest doc_id stands for it.
-2. Keys are counted with partial aggregates; each document of a repeated key is tied to the key's
-   smallest one. A key of only two documents keeps its tie if their minhashes agree well enough.
-3. Components of the ties are clusters: any two documents with a common key are in one cluster.
-4. Clusters are compared on full sets, in blocks: documents of a cluster are dealt to blocks, and
-   each pair of blocks is one group. Pairs already connected, and pairs whose sizes or minhashes
-   rule the similarity out, need no comparison; a group reports a spanning forest of its links.
+2. Keys are counted with partial aggregates. The documents of a key of at most ``crowd`` are paired, and a
+   pair is tied only if its minhashes agree well enough. More crowded keys are refined by a third
+   sketch, the next ``further`` of either side in turn, and dealt with alike; a document that similar
+   shares about as many refined keys as keys. The documents of refined keys that are still crowded agree
+   in nine minhashes; they are tied to the key's smallest one.
+3. Components of the ties are clusters.
+4. Clusters are compared on full sets, in blocks: documents of a cluster are dealt to blocks, bounded in
+   rows and bytes, and each pair of blocks is one group. Pairs already connected, and pairs whose sizes
+   or minhashes rule the similarity out, need no comparison; a group reports a spanning forest of its links.
 5. Components of the links, spread to all members of each class, are the result.
 
-With the defaults a pair at the threshold of 0.8 shares a key with probability above 0.9999.
+With the defaults a pair at the threshold of 0.8 shares a key with probability above 0.999.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with
-nothing. Texts of fewer words than a shingle are one shingle. Equal rows and rows of one doc_id
-share a component. An empty table gives an empty result. Rows with a null doc_id are judged like
-others but never stand for a class unless the class has no other row.
+nothing. Texts of fewer words than a shingle are one shingle. Long texts count whole. Equal rows (ties)
+and rows of one doc_id share a component. An empty table gives an empty result. Rows with a null doc_id
+are judged like others but never stand for a class unless the class has no other row. Ids are integers
+or strings. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, in_small_batches, staged
+from .common import discard, in_small_batches, staged, text_buffer
 from .components import components
 
 
@@ -40,12 +45,16 @@ from .components import components
 class Params:
     words: int = 5
     percent: int = 80
-    sketches: int = 10
-    half: int = 2
-    gate: float = 0.45  # share of equal minhashes below which a pair is ruled out; five deviations below 0.8
+    sketches: int = 11
+    half: int = 3
+    gate: float = 0.55  # share of equal minhashes below which a pair is ruled out; five deviations below 0.8
+    crowd: int = 16  # documents of a key that are paired with one another
+    further: int = 3
     block: int = 128
     most_blocks: int = 32  # of a cluster, while blocks stay below largest_block
     largest_block: int = 4096
+    block_bytes: int = 32 << 20  # of a block's sets, about
+    key_rows: int = 5000  # documents whose keys are drawn up in one task
     broadcast_rows: int = 300_000
     cache_words: int = 100_000
 
@@ -128,23 +137,42 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id binary, sig binary, left array<long>, right array<long>")
 
 
+def paired(keys: DataFrame, p: Params, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the documents of each key of at most ``crowd``, and the rows (with first: the key's smallest) of more crowded ones.
+
+    ``keys``: rep, key and further columns."""
+    counted = keys.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(counted.where("first <> last"), name)
+    two = repeated.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))
+    members = staged(keys.join(repeated.where("n > 2").select("key", "first", "n"), "key"), name)
+    lists = members.where(F.col("n") <= p.crowd).groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("reps"))  # at most crowd of them
+    pairs = lists.select(F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
+    return two.unionByName(pairs), members.where(F.col("n") > p.crowd)
+
+
 def ties(classes: DataFrame, p: Params) -> DataFrame:
-    """(a, b): documents of repeated table keys, tied to the smallest of each key."""
-    one = classes.select("rep", F.posexplode("left").alias("i", "x"), "right")
-    keys = one.select("rep", "i", "x", F.posexplode("right").alias("j", "y")).select("rep", F.xxhash64("i", "x", "j", "y").alias("key"))
-    repeated = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z")
-    tied = keys.join(repeated, "key").where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"))
-    tied = staged(tied, "ties")
+    """(a, b): documents that share a table key and whose minhashes agree, and those of crowded keys."""
+    spread = classes.select("rep", "left", "right").repartition(max(1, -(-classes.count() // p.key_rows)), "rep")
+    one = spread.select("rep", F.posexplode("left").alias("i", "x"), "right")
+    keys = one.select("rep", "i", "x", F.posexplode("right").alias("j", "y")).select("rep", "i", "j", F.xxhash64("i", "x", "j", "y").alias("key"))
+    pairs, crowded = paired(keys, p, "keys")
+    more = crowded.select("rep", "i", "j", "key").join(classes.select("rep", "left", "right"), "rep")
+    at = lambda side, k: F.array(*[F.struct(F.lit(side).alias("side"), F.pmod(F.col(k) + d, F.lit(p.sketches)).alias("k")) for d in range(1, p.further + 1)])
+    more = more.select("rep", "key", "left", "right", F.explode(F.concat(at(0, "i"), at(1, "j"))).alias("s"))
+    value = F.when(F.col("s.side") == 0, F.element_at("left", F.col("s.k") + 1)).otherwise(F.element_at("right", F.col("s.k") + 1))
+    finer, packed = paired(more.select("rep", F.xxhash64("key", "s.side", "s.k", value).alias("key")), p, "finer")
+    pairs = staged(pairs.unionByName(finer).distinct(), "pairs")
     sig_a, sig_b = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    pairs = tied.where("n = 2").select("a", "b").join(sig_a, "a").join(sig_b, "b")
 
     def alike(batches):
         for b in batches:
-            same = [np.count_nonzero(np.frombuffer(x.as_py(), "<u2") == np.frombuffer(y.as_py(), "<u2")) >= p.gate * p.hashes for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+            left, right = (text_buffer(b.column(c))[0].view("<u2").reshape(-1, p.hashes) for c in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array((left == right).sum(1) >= p.gate * p.hashes))
 
     kind = classes.schema["rep"].dataType.simpleString()
-    return tied.where("n > 2").select("a", "b").unionByName(pairs.mapInArrow(alike, f"a {kind}, b {kind}"))
+    same = pairs.join(sig_a, "a").join(sig_b, "b").mapInArrow(alike, f"a {kind}, b {kind}")
+    star = packed.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    return same.unionByName(star)
 
 
 def compare(rows: list[tuple], p: Params):
@@ -174,9 +202,10 @@ def compare(rows: list[tuple], p: Params):
 
 def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, p: Params) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect all that are linked."""
-    sized = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wide = F.greatest(F.least(F.ceil(F.col("size") / p.block), F.lit(p.most_blocks)), F.ceil(F.col("size") / p.largest_block))
-    placed = staged(clusters.join(sized.select("component", wide.cast("int").alias("blocks")), "component").join(classes.select(F.col("rep").alias("node"), "sig"), "node"), "clusters")
+    placed = staged(clusters.join(classes.select(F.col("rep").alias("node"), "sig", "n_shingles"), "node"), "members")
+    sized = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
+    wide = F.greatest(F.least(F.ceil(F.col("size") / p.block), F.lit(p.most_blocks)), F.ceil(F.col("size") / p.largest_block), F.ceil(F.col("shingles") * 8 / p.block_bytes))
+    placed = staged(placed.join(sized.select("component", wide.cast("int").alias("blocks")), "component"), "clusters")
     near = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "sig")
     if placed.count() <= p.broadcast_rows:
         near = F.broadcast(near)
@@ -207,7 +236,7 @@ def links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, p: Params) -
         out = list(compare(rows, p))
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa_kind) for c in (0, 1)], ["a", "b"])
 
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    pa_kind = to_arrow_type(docs.schema["doc_id"].dataType)
     return dealt.mapInArrow(by_group, f"a {kind}, b {kind}")
 
 
@@ -222,7 +251,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if others.count() <= p.broadcast_rows:
         others = F.broadcast(others)
     classes = sigs.where("set_id is not null and doc_id is not null").join(others, ["doc_id", "set_id"], "left_anti")
-    classes = staged(classes.select(F.col("doc_id").alias("rep"), "sig", "left", "right"), "classes")
+    classes = staged(classes.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "left", "right"), "classes")
     discard(sigs)
     clusters = components(ties(classes, p))
     linked = components(links(docs, classes, clusters, p))

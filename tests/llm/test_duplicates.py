@@ -71,6 +71,52 @@ def test_near_duplicates_of_odd_tables(spark):
     assert len(got) == 6 and {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (None, 3), (None, None), (8, 8)}
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string"])
+def test_ids_of_other_types(spark, kind):
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")], "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert sorted((int(r.doc_id), int(r.component_id)) for r in minhash.near_duplicates(rows).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("crowd", [2, 4, 16])
+def test_crowded_keys_lose_no_link(spark, crowd):
+    """A family whose members share most keys, with chains of links at and below the threshold."""
+    random.seed(crowd)
+    word = lambda: "".join(random.choices("abcdefg", k=5))
+    base, rows = [word() for _ in range(80)], []
+    for k in range(60):
+        own = list(base)
+        for _ in range(random.randint(2, 9)):
+            own[random.randrange(80)] = word()
+        rows.append((k, " ".join(own)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), minhash.Params(words=2, crowd=crowd)).collect()
+    groups, _ = expected_groups(rows, 2)
+    assert 1 < len(set(groups.values())) < 60 and {r.doc_id: r.component_id for r in got} == groups
+
+
+def test_fifty_thousand_loosely_similar_documents(spark):
+    """All share a third of their words: no giant cluster arises, rows stay in proportion, and the few true links are found."""
+    n, rng = 50_000, np.random.default_rng(6)
+    base = [f"b{k}" for k in range(14)]
+    text = lambda k: " ".join([*base, *[f"w{x}" for x in np.random.default_rng(k).integers(0, 10**6, 26)]])
+    copies = {n + k: int(x) for k, x in enumerate(rng.choice(n, 40, replace=False))}
+    rows = [(k, text(k)) for k in range(n)] + [(k, text(x) + " more") for k, x in copies.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    p, seen, inner = minhash.Params(words=2), [], minhash.ties
+
+    def watched(classes, p):
+        out = minhash.staged(inner(classes, p))
+        seen.append((out.count(), components(out).groupBy("component").count().agg(F.max("count")).first()[0]))
+        return out
+
+    try:
+        minhash.ties = watched
+        got = minhash.near_duplicates(docs, p).collect()
+    finally:
+        minhash.ties = inner
+    assert {r.doc_id: r.component_id for r in got if r.doc_id != r.component_id} == copies
+    assert seen[0][0] < n and seen[0][1] < n // 10
+
+
 def test_pairs_at_the_threshold_share_a_key():
     """Recall of the banding alone: pairs with a similarity of just 0.8."""
     p, rng = minhash.Params(words=2), np.random.default_rng(5)
