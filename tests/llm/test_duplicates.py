@@ -142,7 +142,7 @@ def brute_links(rows, cosine=0.95):
     return n, roots(n, links)
 
 
-@pytest.mark.parametrize("p", [embeddings.Params(), embeddings.Params(per_cell=20, row_block=7, column_block=11), embeddings.Params(per_cell=20, reach=None)])
+@pytest.mark.parametrize("p", [embeddings.Params(), embeddings.Params(per_cell=20, row_block=7, column_block=11), embeddings.Params(per_cell=20, reach=None), embeddings.Params(per_cell=4, few_cells=0)])
 def test_vectors_equal_brute_force(spark, p):
     rng = np.random.default_rng(9)
     rows = []
@@ -159,3 +159,18 @@ def test_vectors_equal_brute_force(spark, p):
     n, groups = brute_links(rows)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {k: (n[k], groups[k], groups[k] == k) for k, _ in rows}
     assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_recall_of_links_between_many_cells(spark):
+    """Near copies in random directions among vectors without clusters: nearly all links are found, and from both ends."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step = rng.normal(size=(3000, 64))
+    step -= (step * x[:3000]).sum(1)[:, None] * x[:3000]
+    y = x[:3000] + np.tan(np.arccos(0.9502)) * step / np.linalg.norm(step, axis=1)[:, None]  # just within the threshold
+    every = np.concatenate([x, y]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    found = [got[k] for k in range(3000)]
+    assert np.mean(np.array(found) >= 1) >= 0.999 and all(got[12_000 + k] == got[k] for k in range(3000))
