@@ -45,7 +45,8 @@ def bytes_to_uint32(b: Column) -> Column:
 
 def uint64_to_bytes(n: Column) -> Column:
     """Eight bytes, big-endian, of a decimal(20,0) or long that is not negative."""
-    high, low = F.floor(n / F.lit(4294967296)).cast("long"), F.pmod(n.cast("decimal(20,0)"), F.lit(4294967296).cast("decimal(20,0)")).cast("long")
+    exact, half = n.cast("decimal(20,0)"), F.lit(4294967296).cast("decimal(10,0)")  # a long divided by a number would become a double
+    high, low = F.floor(exact / half).cast("long"), F.pmod(exact, half).cast("long")
     return F.when(n >= 0, F.unhex(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0"))))
 
 
