@@ -23,7 +23,7 @@ def test_integers_round_trip(spark):
     assert one(spark, codecs.uint64_to_bytes(wide), codecs.bytes_to_uint64(codecs.uint64_to_bytes(wide)).cast("string")) == (n.to_bytes(8, "big"), str(n))
     for n in (0, 2**32 - 1, 2**32, 2**53 + 1, 2**62 - 1, 2**63 - 1):  # longs are exact, too
         assert one(spark, codecs.uint64_to_bytes(F.lit(n).cast("long"))) == (n.to_bytes(8, "big"),)
-    assert one(spark, codecs.uint64_to_bytes(F.lit(2**64 - 1).cast("decimal(20,0)"))) == ((2**64 - 1).to_bytes(8, "big"),)
+    assert one(spark, codecs.uint64_to_bytes(F.lit(str(2**64 - 1)).cast("decimal(20,0)"))) == ((2**64 - 1).to_bytes(8, "big"),)
     assert one(spark, codecs.from_little_endian(F.lit((7).to_bytes(8, "little"))), codecs.from_little_endian(F.lit(b"12"))) == (7, None)
 
 
