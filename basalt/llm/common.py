@@ -31,23 +31,34 @@ def discard(df: DataFrame) -> None:
     delete(df.sparkSession, df._staged_at)
 
 
-def in_small_batches(operator, rows: int = 1000):
-    """Run ``operator`` with Arrow batches of at most ``rows`` rows: texts are long, and each batch is held several times.
+#: Texts and lists are long, and each batch of rows is held several times on its way to Python and back.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.parquet.columnarReaderBatchSize": 256}
 
-    The session's setting is as before when the operator returns.
+
+def small_batches(spark: SparkSession) -> dict[str, str]:
+    """Lower the session's batch settings to BATCHES, and return those it had."""
+    before = {c: spark.conf.get(c) for c in BATCHES}
+    for c, most in BATCHES.items():
+        now = before[c].rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(c, str(most))
+    return before
+
+
+def in_small_batches(operator):
+    """Run the jobs that ``operator`` starts with small batches. The session's settings are as before when it returns.
+
+    What it returns is evaluated later; whoever does may call ``small_batches`` for the session, as the registered queries do.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     @functools.wraps(operator)
     def run(docs: DataFrame, *args, **kwargs):
-        conf = docs.sparkSession.conf
-        before = conf.get(setting)
-        if not 0 < int(before) <= rows:
-            conf.set(setting, str(rows))
+        before = small_batches(docs.sparkSession)
         try:
             return operator(docs, *args, **kwargs)
         finally:
-            conf.set(setting, before)
+            for c, value in before.items():
+                docs.sparkSession.conf.set(c, value)
 
     return run
 

@@ -50,9 +50,9 @@ class Params:
     window: int = 13
     per_mille: int = 50  # contaminated from this share of hit words, in thousandths
     block_words: int = 500_000
-    segment_bytes: int = 1 << 20
+    segment_bytes: int = 1 << 19
     slice_rows: int = 2_000_000
-    cache_words: int = 200_000
+    cache_words: int = 50_000
 
 
 def hashed(ws: list[bytes], known: dict, most: int) -> np.ndarray:

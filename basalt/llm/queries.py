@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, embeddings, licenses, lm, minhash, packing, quality, toxicity, urlfilter, warc
-from .common import table
+from .common import small_batches, table
 from .sql import SQL  # noqa: F401  registered beside the queries
 
 
@@ -62,4 +64,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
+def in_session(query):
+    """Queries own their session: its batches are small from here on, as results are evaluated after a query returns."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: in_session(f) for f in (op1_licenses, op2_warc, op3_embeddings, op4_pack, op5_minhash, op6_urlfilter, op7_lm, op8_quality, op9_decontaminate, op10_toxicity)}
