@@ -37,5 +37,5 @@ def ingest(ledgers: DataFrame, txs: DataFrame, config: settings.Config, skip_mis
             writer = writer.option("parquet.bloom.filter.enabled#tx_hash", "true")
         writer.parquet(store.output_path)
         if store.raw_file:
-            rawfile.packed(txs).write.mode("overwrite").parquet(store.raw_file)
+            rawfile.write_files(txs, store.raw_file)
     return {"found": found, "skipped": skipped}

@@ -39,6 +39,22 @@ def chunk_store_range(spark, sf_dir):
     return chunkstore.decoded(spark.read.parquet(path), 500, 900, 2600).select("ledger_seq", F.md5("payload").alias("digest"))
 
 
+@query(f"with {L}, {T}, p as (select ledger_seq, strftime(closed_at, '%Y-%m-%d') || '|' || coalesce(string_agg(tx_hash, ',' order by tx_index), '') as payload from ledgers left join txs using (ledger_seq) group by ledger_seq, closed_at) select ledger_seq, md5(payload) as digest from p")
+def chunk_files_roundtrip(spark, sf_dir):
+    """Every ledger stored in chunk files of 500, and read back by its two offsets."""
+    path = new_path(spark, "chunkfiles")
+    chunkstore.write_files(payloads(spark, sf_dir), path, 500)
+    return chunkstore.read_records(S.ledgers(spark, sf_dir), path, 500).select("ledger_seq", F.md5("payload").alias("digest"))
+
+
+@query(f"with {T} select tx_hash, ledger_seq, count(*) as n from txs group by 1, 2")
+def raw_files_roundtrip(spark, sf_dir):
+    """Every transaction as a record of a raw hash file, and read back."""
+    path = new_path(spark, "rawfiles")
+    rawfile.write_files(S.transactions(spark, sf_dir), path, 20_000)
+    return rawfile.read(spark, path).groupBy("tx_hash", "ledger_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {L} select (ledger_seq - 2) // 500 as chunk_id, count(*) as records, 1 as version, 4 as width from ledgers group by 1")
 def chunk_index_header(spark, sf_dir):
     """What the index of each chunk of 500 ledgers says."""

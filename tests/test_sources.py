@@ -71,3 +71,38 @@ def test_range_read_prunes_chunks(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert read.count() == 6 and "PartitionFilters: [isnotnull(chunk_id" in plan
     assert ledgers.missing(rows.where("ledger_seq % 3 = 0"), 2, 9).count() == 5
+
+
+def test_chunk_files(spark, tmp_path):
+    path = f"{tmp_path}/c"
+    rows = spark.range(2, 2 + 45).select(F.col("id").alias("ledger_seq"), F.encode(F.repeat(F.col("id").cast("string"), 5), "UTF-8").alias("payload"))
+    assert chunkstore.write_files(rows, path, 10)["chunks"] == 5
+    assert sorted(x.name for x in (tmp_path / "c/chunks/0000").iterdir()) == sorted(f"{k:06d}.{e}" for k in range(5) for e in ("data", "index"))
+    (tmp_path / "c/chunks/0000/000003.index").unlink()  # incomplete, so written anew
+    assert chunkstore.write_files(rows, path, 10) == {"chunks": 1, "records": 10, "bytes": (tmp_path / "c/chunks/0000/000003.data").stat().st_size}
+    assert chunkstore.write_files(rows, path, 10)["records"] == 0
+    asked = spark.createDataFrame([(2,), (46,), (46,), (47,), (900,), (1,), (None,)], "ledger_seq long")
+    got = [(r.ledger_seq, r.payload and bytes(r.payload)) for r in chunkstore.read_records(asked, path, 10).collect()]
+    assert sorted(got, key=str) == sorted([(2, b"22222"), (46, b"4646464646"), (46, b"4646464646"), (47, None), (900, None), (1, None), (None, None)], key=str)
+    assert {r.ledger_seq: bytes(r.payload) for r in chunkstore.decoded(chunkstore.read_files(spark, path), 10).collect()} == {r.ledger_seq: bytes(r.payload) for r in rows.collect()}
+    for bad, says in ((rows.where("ledger_seq <> 5"), "ledger 5 is missing"), (rows.union(rows.where("ledger_seq = 7")), "ledger 8 is missing")):
+        with pytest.raises(Exception, match=says):
+            chunkstore.write_files(bad, f"{tmp_path}/bad-{says[7]}", 10)
+    assert chunkstore.write_files(rows.where("false"), f"{tmp_path}/none", 10) == {"chunks": 0, "records": 0, "bytes": 0}
+
+
+def test_raw_files(spark, tmp_path):
+    rows = spark.range(5000).select(F.sha2(F.floor(F.col("id") / 2).cast("string"), 256).alias("tx_hash"), (F.col("id") * 800_000).alias("ledger_seq"))
+    assert rawfile.write_files(rows, f"{tmp_path}/w", 700) == 5000
+    sizes = [x.stat().st_size for x in (tmp_path / "w").iterdir()]
+    assert len(sizes) == 8 and sum(sizes) == 180_000 and all(x % 36 == 0 for x in sizes)
+    got = rawfile.read(spark, f"{tmp_path}/w", 300)
+    assert sorted((r.tx_hash, r.ledger_seq) for r in got.collect()) == sorted((r.tx_hash, r.ledger_seq) for r in rows.collect())
+    assert got.agg(F.max("rec_no")).first()[0] == max(sizes) // 36 - 1
+    (tmp_path / "w/part-000001.raw.x.tmp").write_bytes(b"draft of a lost task")
+    assert got.count() == rawfile.read(spark, f"{tmp_path}/w").count() == 5000
+    (tmp_path / "w/part-000000.raw").write_bytes(b"")
+    with pytest.raises(Exception, match="raw hash file of 0 bytes"):
+        rawfile.read(spark, f"{tmp_path}/w").collect()
+    with pytest.raises(Exception, match="without a hash"):
+        rawfile.write_files(spark.createDataFrame([(None, 3)], "tx_hash string, ledger_seq long"), f"{tmp_path}/n")
