@@ -8,6 +8,7 @@ from ..functions.chunks import chunk_of
 from ..functions.codecs import is_hash
 from ..operators import derive as D
 from ..operators import lookup as J
+from ..session import new_path
 from ..sources import ledgers as S
 from ..sources import lists
 from .base import QUERIES, SQL, query
@@ -167,6 +168,41 @@ def failure_json(spark, sf_dir, asked_for=keys):
     return J.summary_json(J.outcome_totals(asked, classes), classes)
 
 
+TIME = "n_visited * 10 + 200"
+#: The whole table's walk, the ledger each walk ended with, and in TIME a stand-in for the time of a query.
+ENDED = f"""{WALK.replace(K, K_ALL)}, ended as (select tx_hash, arg_max(ledger_seq, index_idx) as seq from walk group by 1), timed as (select c.*, e.seq, {TIME} as ns from classes c left join ended e using (tx_hash))"""
+
+
+@query(f"""{ENDED}, pairs as (select w.tx_hash, p.success_seq is not null and w.ledger_seq = p.success_seq as good, string_agg('(' || w.ledger_seq || ',' || strftime(w.closed_at, '%Y-%m-%d %H:%M:%S') || ' +0000 UTC)', ',' order by index_idx) as t from walk w join per p using (tx_hash) group by 1, 2),
+claimed as (select seq, string_agg(cast(store_id as varchar), ',' order by store_id) as names from (select distinct seq from timed where outcome = 'LEDGER_IN_MULTIPLE_DBS') join stores on seq between first and last group by 1),
+sizes as (select ledger_seq as seq, count(*) as n from txs group by 1)
+select t.tx_hash, concat_ws('|', outcome, t.tx_hash, case outcome when 'LEDGER_NOT_FOUND' then cast(seq as varchar) when 'LEDGER_IN_MULTIPLE_DBS' then seq || '|' || names when 'FALSE_POSITIVE_NORMAL' then b.t || '|' || coalesce(n, 0) when 'FALSE_POSITIVE_COMPOUND' then b.t when 'FALSE_POSITIVE_PARTIAL' then g.t || '|' || b.t end, ns || 'ns') as line
+from timed t left join pairs g on g.tx_hash = t.tx_hash and g.good left join pairs b on b.tx_hash = t.tx_hash and not b.good left join claimed using (seq) left join sizes using (seq) where outcome <> 'SUCCESS'""")
+def lookup_log(spark, sf_dir):
+    """The log of a lookup of every transaction, all classes, written as text and read back."""
+    asked, walk = walked(spark, sf_dir, every_key)
+    path = new_path(spark, "log")
+    J.write_lines(J.log_lines(J.classified(asked, walk), stores(spark, sf_dir), S.transactions(spark, sf_dir), F.expr(TIME)), path)
+    return spark.read.text(path).select(F.split("value", "[|]")[1].alias("tx_hash"), F.col("value").alias("line"))
+
+
+OF_TIME = "coalesce(sum(ns) filter (where w) // greatest(count(*) filter (where w), 1), 0) || 'ns\"'"
+MEANS = ", ".join(f"""'"{c}":"' || {OF_TIME}""" for c in J.PHASES)
+MEANS = f"""concat_ws(',', {MEANS}, '"avg_tx_scanned":' || coalesce(cast(sum(n_visited) filter (where w) as bigint) // greatest(count(*) filter (where w), 1), 0))"""
+
+
+@query(f"""{ENDED}, good as (select {MEANS.replace("where w", "where outcome = 'SUCCESS'")} as a, {MEANS.replace("where w", "where outcome = 'FALSE_POSITIVE_PARTIAL'")} as p, count(*) as n, count(*) filter (where outcome in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL')) as ok from timed),
+f as (select string_agg('"' || outcome || '":{{"count":' || n || ',"avg_time":"' || ns || 'ns"}}', ',' order by outcome) as f from (select outcome, count(*) as n, sum(ns) // count(*) as ns from timed where outcome not in ('SUCCESS', 'FALSE_POSITIVE_PARTIAL') group by 1))
+select '{{"total_transactions":' || n || ',"total_success":' || ok || ',"total_failed":' || (n - ok) || ',"invalid_inputs":' || (select count(*) from keys where not regexp_full_match(query, '[0-9a-fA-F]{{64}}')) || ',"wall_clock_time_ns":1000000000,"wall_clock_time":"1.000s","throughput_per_second":' || n || '.0,"success_avg":{{' || a || '}},"false_positive_partial_avg":{{' || p || '}},"failures":{{' || f || '}}}}' as summary from good, f""")
+def lookup_summary(spark, sf_dir):
+    """The summary of the same lookup; each phase takes the stand-in's time, and visits stand for scanned transactions."""
+    asked, walk = walked(spark, sf_dir, every_key)
+    timed = J.classified(asked, walk).select("outcome", *[F.expr(TIME).alias(c) for c in J.PHASES], F.col("n_visited").alias("tx_scanned"))
+    path = new_path(spark, "summary")
+    J.write_lines(J.lookup_summary(timed, asked, 1_000_000_000), path, "summary")
+    return spark.read.text(path).select(F.col("value").alias("summary"))
+
+
 @query(f"with {T}, answers as (select tx_hash, max(ledger_seq) as a from txs where ledger_seq % 13 <> 0 group by 1) select count(*) as checked, count(*) filter (where a = ledger_seq) as verified, count(*) filter (where a is null or a <> ledger_seq) as failed from txs left join answers using (tx_hash)")
 def index_verify(spark, sf_dir):
     txs = S.transactions(spark, sf_dir)
@@ -175,8 +211,9 @@ def index_verify(spark, sf_dir):
 
 @query(f"with {L}, {SOME} select l.ledger_seq, count(s.store_id) as n_stores, min(s.store_id) as first_store from ledgers l left join stores s on l.ledger_seq between s.first and s.last group by 1")
 def store_routing(spark, sf_dir):
-    claims = S.ledgers(spark, sf_dir).select("ledger_seq").join(stores(spark, sf_dir), F.col("ledger_seq").between(F.col("first"), F.col("last")), "left")
-    return claims.groupBy("ledger_seq").agg(F.count("store_id").alias("n_stores"), F.min("store_id").alias("first_store"))
+    seqs = S.ledgers(spark, sf_dir).select("ledger_seq")
+    claimed = J.claims(seqs, stores(spark, sf_dir)).groupBy("ledger_seq").agg(F.count("store_id").alias("n_stores"), F.min("store_id").alias("first_store"))
+    return seqs.join(claimed, "ledger_seq", "left").withColumn("n_stores", F.coalesce("n_stores", F.lit(0)))
 
 
 @query(f"with {L}, {SOME} select a.store_id as store_a, b.store_id as store_b, greatest(a.first, b.first) as first, least(a.last, b.last) as last from stores a join stores b on a.store_id < b.store_id and a.first <= b.last and b.first <= a.last")

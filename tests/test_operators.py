@@ -43,6 +43,19 @@ def test_walk_stops_early(spark):
     assert tuple(lookup.outcome_totals(keys, classes).first()) == (6, 2, 4, 1)
     line = {r.tx_hash[0]: r.line for r in lookup.error_lines(classes).collect()}
     assert line["a"] == f"FALSE_POSITIVE_PARTIAL|{'a' * 64}|3|(5,2020-01-01T00:00:00Z)" and "b" not in line
+    gone = spark.createDataFrame([("c" * 64, "LEDGER_NOT_FOUND", 1, None, [(1, 11, None)])], "tx_hash string, outcome string, n_visited long, success_seq long, path array<struct<index_idx long, ledger_seq long, closed_at timestamp>>")
+    full = classes.select(*gone.columns).where("tx_hash not like 'c%'").union(gone)
+    line = {r.line.split("|")[0]: r.line.replace(r.tx_hash, r.tx_hash[0]) for r in lookup.log_lines(full, stores, txs, F.lit(1500)).collect()}
+    at = "2020-01-01 00:00:00 +0000 UTC"
+    assert line == {
+        "FALSE_POSITIVE_PARTIAL": f"FALSE_POSITIVE_PARTIAL|a|(3,{at})|(5,{at})|1.500µs",
+        "FALSE_POSITIVE_COMPOUND": f"FALSE_POSITIVE_COMPOUND|d|(3,{at}),(7,{at})|1.500µs",
+        "LEDGER_IN_MULTIPLE_DBS": "LEDGER_IN_MULTIPLE_DBS|e|20|2,3|1.500µs",
+        "LEDGER_NOT_FOUND": "LEDGER_NOT_FOUND|c|11|1.500µs",
+        "RECSPLIT_NOT_FOUND": "RECSPLIT_NOT_FOUND|f|1.500µs",
+    }
+    alone = lookup.log_lines(classes.where("outcome = 'FALSE_POSITIVE_NORMAL'"), stores, txs, F.lit(7)).first().line
+    assert alone == f"FALSE_POSITIVE_NORMAL|{'c' * 64}|(3,{at})|1|7ns"
 
 
 def test_statistics_of_few_samples(spark):
