@@ -67,6 +67,15 @@ def overhead(actual: Column, expected: Column) -> Column:
     return F.when(expected == 0, 0.0).otherwise(100.0 * (actual - expected) / expected)
 
 
+def percent_text(value: Column, decimals: int = 2) -> Column:
+    return F.format_string(f"%.{decimals}f%%", value.cast("double"))
+
+
+def rate_of(n: Column, ns: Column) -> Column:
+    """``n`` in ``ns`` nanoseconds, as a rate; "0/s" if no time passed."""
+    return F.when(ns <= 0, "0/s").otherwise(rate(n / (ns / 1e9)))
+
+
 def rate(n: Column) -> Column:
     return F.when(n >= 1e6, F.format_string("%.2fM/s", n / 1e6)).when(n >= 1e3, F.format_string("%.2fK/s", n / 1e3)).otherwise(F.format_string("%.2f/s", n.cast("double")))
 

@@ -99,21 +99,26 @@ def compaction_triggers(batch_bytes: DataFrame, threshold: int) -> DataFrame:
     return ordered.select("stream", F.explode(F.aggregate("b", start, step)["at"]).alias("batch_no"))
 
 
-def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """Rows numbered from 0 in the order of a column, without bringing them to one task.
+def running(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` up to and with each, in the order of a column, without bringing them to one task.
 
-    Rows are dealt by ranges and written; numbers are those within a range after the sizes of the
+    Rows are dealt by ranges and written; sums are those within a range after the totals of the
     ranges before it.
     """
     path = new_path(df.sparkSession, "ranges")
-    df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    df.withColumn(name, value).repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
     dealt = df.sparkSession.read.parquet(path)
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each range
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    totals = dealt.groupBy("__part").agg(F.sum(name).alias("__total"))
+    before = totals.select("__part", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    within = F.sum(name).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return dealt.withColumn(name, within).join(before, "__part").withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
 
 
+def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in the order of a column, without bringing them to one task."""
+    return running(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
+
+
 def split_evenly(df: DataFrame, workers: int, order: str) -> DataFrame:
     """Contiguous slices; the first ones get one more row each."""
     rows = numbered(df, order, "__number")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import overhead, percent, reduction
+from .derive import running
 
 
 def truncated_means(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -39,15 +40,10 @@ def rollup_by_batch(df: DataFrame, batch: Column, **sums: Column) -> DataFrame:
 
 
 def progress_marks(steps: DataFrame, total: int) -> DataFrame:
-    """Steps at which the whole percentage of work done rises: step, done, percent. ``steps(step, done_now)``.
-
-    The number done so far is a running sum over steps, of which there are few: one for each batch.
-    """
-    w = Window.orderBy("step")
-    so_far = steps.withColumn("done", F.sum("done_now").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = so_far.withColumn("percent", F.floor(100 * F.col("done") / total).cast("long"))
-    before = F.coalesce(F.lag("percent").over(w), F.lit(0))
-    return marked.withColumn("before", before).where("percent > before").select("step", "done", "percent")
+    """Steps at which the whole percentage of work done rises: step, done, percent. ``steps(step, done_now)``."""
+    percent_of = lambda n: F.floor(100 * n / total).cast("long")
+    marked = running(steps, "step", F.col("done_now"), "done").withColumn("percent", percent_of(F.col("done")))
+    return marked.where(F.col("percent") > percent_of(F.col("done") - F.col("done_now"))).select("step", "done", "percent")
 
 
 def estimate(done: Column, total: int, elapsed_s: Column) -> tuple[Column, Column]:

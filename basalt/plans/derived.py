@@ -56,8 +56,8 @@ def year_to_ledger_range(spark, sf_dir):
 
 @query(f"with {L}, {T} select ledger_seq, closed_at, tx_index, tx_hash from txs join ledgers using (ledger_seq)")
 def explode_transactions(spark, sf_dir):
-    nested = S.nested(S.ledgers(spark, sf_dir), S.transactions(spark, sf_dir))
-    return D.explode_transactions(nested).select("ledger_seq", "closed_at", "tx_index", "tx_hash")
+    """Transactions are rows here already, so they are joined with their ledgers and never packed into one row for each."""
+    return D.tx_data(S.ledgers(spark, sf_dir), S.transactions(spark, sf_dir)).select("ledger_seq", "closed_at", "tx_index", "tx_hash")
 
 
 @query(f"with {L}, {T} select ledger_seq, count(tx_hash) as tx_count from ledgers left join txs using (ledger_seq) group by 1")

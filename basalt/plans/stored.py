@@ -119,11 +119,8 @@ def ledger_store_range(spark, sf_dir):
 @query(f"with {T} select case when k % 5 = 1 then 'NOT_IN_INDEX' else case when k % 5 = 2 then 'INVALID_INPUT' else 'FOUND' end end as outcome, count(*) as n from (select row_number() over (order by tx_hash) as k from txs where starts_with(tx_hash, '0a')) group by 1")
 def stream_lookup_totals(spark, sf_dir):
     """Running totals of a stream of queries, some spoilt, with commands between them."""
-    from pyspark.sql import Window
-
     txs = S.transactions(spark, sf_dir)
-    k = F.row_number().over(Window.orderBy("tx_hash"))
-    asked = txs.where("startswith(tx_hash, '0a')").select("tx_hash", k.alias("k"))
+    asked = D.numbered(txs.where("startswith(tx_hash, '0a')").select("tx_hash"), "tx_hash").select("tx_hash", (F.col("number") + 1).alias("k"))
     line = F.when(F.col("k") % 5 == 1, F.sha2("tx_hash", 256)).when(F.col("k") % 5 == 2, F.lit("zz")).otherwise(F.concat(F.lit("0x"), F.upper("tx_hash")))
     return totals_of(spark, asked.select(line.alias("value")), txs)
 
@@ -147,6 +144,22 @@ def stream_lookup_totals_all(spark, sf_dir):
     return totals_of(spark, txs.select(line.alias("value")), txs)
 
 
+@query(f"with {T} select case tx_hash[64] when '1' then 'NOT_IN_INDEX' when '2' then 'INVALID_INPUT' else 'FOUND' end as outcome, count(*) as n from txs group by 1")
+def stream_interactive_stats(spark, sf_dir):
+    """What STOP reports after a file that asks for every transaction; the file after it is not answered."""
+    folder, stores, out = (new_path(spark, n) for n in ("stdin", "stores", "answers"))
+    txs = S.transactions(spark, sf_dir)
+    D.hash_to_seq(txs).write.parquet(f"{stores}/seqs")
+    txs.select("tx_hash", "ledger_seq").write.parquet(f"{stores}/txs")
+    digit = F.substring("tx_hash", 64, 1)
+    line = F.when(digit == "1", F.sha2("tx_hash", 256)).when(digit == "2", F.lit("zz")).otherwise(F.concat(F.lit("0x"), F.upper("tx_hash")))
+    txs.select(line.alias("value")).repartition(3).write.text(folder)
+    for late in ("stop", "zz"):
+        spark.range(1).select(F.lit(late).alias("value")).write.mode("append").text(folder)
+    stream.run_interactive(spark, folder, spark.read.parquet(f"{stores}/seqs"), spark.read.parquet(f"{stores}/txs"), new_path(spark, "progress"), out)
+    return spark.read.parquet(f"{out}/stats").select("outcome", "n")
+
+
 @query("select o_custkey, max(o_orderkey) as o_orderkey from orders group by 1")
 def stream_ingest(spark, sf_dir):
     """Micro-batches of orders upserted into a table of each customer's last order."""

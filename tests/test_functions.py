@@ -55,6 +55,8 @@ def test_other_formats(spark):
     assert one(spark, formats.wrapped(F.lit("abcdef"), 4), formats.wrapped(F.lit("abc"), 4)) == ("abcd\nef\n", "abc")
     assert one(spark, formats.percent(F.lit(1), F.lit(0)), formats.reduction(F.lit(4), F.lit(1)), formats.overhead(F.lit(3), F.lit(2))) == (0.0, 75.0, 50.0)
     assert one(spark, formats.rate(F.lit(2500)), formats.with_commas(F.lit(-1234567)), formats.gigabytes(F.lit(1024**3))) == ("2.50K/s", "-1,234,567", 1.0)
+    rates = [formats.rate_of(F.lit(n).cast("long"), F.lit(ns).cast("long")) for n, ns in ((5, 0), (3, 2_000_000_000), (5000, 10**9), (3_000_000, 5 * 10**8))]
+    assert one(spark, formats.percent_text(F.lit(12.345), 1), formats.percent_text(F.lit(7)), *rates) == ("12.3%", "7.00%", "0/s", "1.50/s", "5.00K/s", "6.00M/s")
 
 
 def test_chunks(spark):

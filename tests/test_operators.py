@@ -87,6 +87,43 @@ def test_commands_are_no_queries(spark):
     assert [r.query for r in stream.queries_of(lines).collect()] == ["ab"]
 
 
+def test_stats_and_stop(spark, tmp_path):
+    import os
+
+    seqs = spark.createDataFrame([("a" * 64, 2)], "tx_hash string, ledger_seq long")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, text in enumerate(["a" * 64 + "\n" + "b" * 64, "a" * 64 + "\nSTATS", "x\n\nstop\n" + "a" * 64, "a" * 64]):
+        (folder / str(k)).write_text(text)
+        os.utime(folder / str(k), (1000 + k, 1000 + k))
+    out = str(tmp_path / "out")
+    stream.run_interactive(spark, str(folder), seqs, seqs, str(tmp_path / "progress"), out)
+    got = {k: {r.outcome: r.n for r in spark.read.parquet(f"{out}/stats").where(F.col("batch") == k).collect()} for k in (1, 2)}
+    assert got == {1: {"FOUND": 2, "NOT_IN_INDEX": 1}, 2: {"FOUND": 3, "NOT_IN_INDEX": 1, "INVALID_INPUT": 1}}
+    assert spark.read.parquet(f"{out}/answers").count() == 5
+
+
+def test_nested_ledgers_explode(spark):
+    from basalt.sources import ledgers
+
+    rows = spark.createDataFrame([(2, "x"), (3, "y")], "ledger_seq long, closed_at string")
+    txs = spark.createDataFrame([("h", 2, 2, "e", "r"), ("g", 2, 1, "f", "r")], "tx_hash string, ledger_seq long, tx_index long, envelope string, result string")
+    nested = ledgers.nested(rows, txs)
+    assert {r.ledger_seq: [t.tx_hash for t in r.txs] for r in nested.collect()} == {2: ["g", "h"], 3: []}
+    assert sorted(derive.explode_transactions(nested).select("ledger_seq", "closed_at", "tx_index", "tx_hash").collect()) == [(2, "x", 1, "g"), (2, "x", 2, "h")]
+
+
+def test_progress_over_many_steps(spark):
+    steps = spark.range(1, 1001).select(F.col("id").alias("step"), (F.col("id") % 3).alias("done_now"))
+    want, done, percent = [], 0, 0
+    for k in range(1, 1001):
+        done += k % 3
+        if 100 * done // 999 > percent:
+            percent = 100 * done // 999
+            want.append((k, done, percent))
+    assert sorted(tuple(r) for r in stats.progress_marks(steps, 999).collect()) == want
+
+
 def test_range_compaction(spark, tmp_path):
     from basalt.sources import ledgers
 
